@@ -1,0 +1 @@
+"""Empty on purpose: the engine's capability list has no streaming operator."""
