@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions.measures import ieee_ratio
 from tickloom.functions.significance import p_value
-from tickloom.functions.timeexpr import bucket_ms
+from tickloom.functions.timeexpr import DAY_MS, bucket_ms
 
 LAGS = list(range(11))
 FOLLOWER_SHIFT = 5
+# Share of the squared total below which a residual is rounding noise.
+PERFECT_FIT = 1e-12
 PAIR = ["leader", "follower"]
+FIT = [*PAIR, "interval"]
 
 
 def lag_label(lag: int) -> str:
@@ -29,17 +33,22 @@ def joined_returns(series: DataFrame, flip_leader: bool = True) -> DataFrame:
     return leader.join(follower, "start_ts_ob").where(F.col("leader") != F.col("follower"))
 
 
-def standardized_bins(pairs: DataFrame, seconds: int) -> DataFrame:
-    """Sums of z-scored returns per bin.
+def standardized_bins(pairs: DataFrame, intervals: list[int]) -> DataFrame:
+    """Sums of z-scored returns per bin, for every interval (seconds) at once.
 
     Scoring is linear, so returns are summed per bin first and scored once per bin, not per row.
+    ``first_ts`` is the pair's first instant.
     """
     stats = pairs.groupBy(*PAIR).agg(
-        F.avg("x").alias("mx"), F.stddev_samp("x").alias("sx"), F.avg("y").alias("my"), F.stddev_samp("y").alias("sy")
+        F.avg("x").alias("mx"), F.stddev_samp("x").alias("sx"),
+        F.avg("y").alias("my"), F.stddev_samp("y").alias("sy"),
+        F.min("start_ts_ob").alias("first_ts"),
     )
+    time = F.col("start_ts_ob")
+    places = [F.struct(F.lit(s).cast("long").alias("interval"), bucket_ms(time, s).alias("bin")) for s in intervals]
     bins = (
-        pairs.withColumn("bin", bucket_ms(F.col("start_ts_ob"), seconds))
-        .groupBy(*PAIR, "bin")
+        pairs.select(*PAIR, "x", "y", F.inline(F.array(*places)))
+        .groupBy(*FIT, "bin")
         .agg(F.sum("x").alias("x"), F.count("x").alias("nx"), F.sum("y").alias("y"), F.count("y").alias("ny"))
     )
 
@@ -47,45 +56,40 @@ def standardized_bins(pairs: DataFrame, seconds: int) -> DataFrame:
         return F.coalesce(F.try_divide(F.col(total) - F.col(count) * F.col(mean), F.col(dev)), F.lit(0.0))
 
     return bins.join(stats, PAIR).select(
-        *PAIR, "bin", score("x", "nx", "mx", "sx").alias("x"), score("y", "ny", "my", "sy").alias("y")
+        *FIT, "first_ts", "bin", score("x", "nx", "mx", "sx").alias("x"), score("y", "ny", "my", "sy").alias("y")
     )
 
 
-def lagged_rows(bins: DataFrame, seconds: int) -> DataFrame:
+def lagged_rows(bins: DataFrame) -> DataFrame:
     """Regression rows: follower five bins back (``y``) and leader 0..10 bins back (``x0``..``x10``).
 
     Instead of ordering a pair's whole history in one window, each bin sends its value to the
     anchors that need it, and anchors are assembled by a grouped sum. A bin without rows
     contributes 0 to later anchors, but is no anchor itself, and neither are a pair's first ten bins.
     """
-    step = seconds * 1000
-    nothing = F.lit(0.0)
-    targets = []
-    for lag in LAGS:
-        values = [(F.col("x") if k == lag else nothing).alias(f"x{k}") for k in LAGS]
-        targets.append(
-            F.struct(
-                (F.col("bin") + lag * step).alias("anchor"),
-                F.lit(1 if lag == 0 else 0).alias("observed"),
-                (F.col("y") if lag == FOLLOWER_SHIFT else nothing).alias("y"),
-                *values,
-            )
-        )
-    first = bins.groupBy(*PAIR).agg(F.min("bin").alias("first_bin"))
-    rows = (
-        bins.select(*PAIR, F.inline(F.array(*targets)))
-        .groupBy(*PAIR, "anchor")
-        .agg(F.max("observed").alias("observed"), F.sum("y").alias("y"), *[F.sum(f"x{k}").alias(f"x{k}") for k in LAGS])
-        .where(F.col("observed") == 1)
-        .drop("observed")
+    step = F.col("interval") * 1000
+    sent = bins.withColumn("lag", F.explode(F.array(*[F.lit(k) for k in LAGS]))).select(
+        *FIT, "first_ts", "lag", (F.col("bin") + F.col("lag") * step).alias("anchor"), "x", "y"
     )
+
+    def at(lag: int, value: str):
+        return F.coalesce(F.sum(F.when(F.col("lag") == lag, F.col(value))), F.lit(0.0))
+
+    first_anchor = F.col("first_ts") - F.pmod(F.pmod(F.col("first_ts"), F.lit(DAY_MS)), step) + max(LAGS) * step
     return (
-        rows.join(first, PAIR).where(F.col("anchor") >= F.col("first_bin") + max(LAGS) * step).drop("first_bin")
+        sent.groupBy(*FIT, "first_ts", "anchor")
+        .agg(
+            F.min("lag").alias("nearest"),
+            at(FOLLOWER_SHIFT, "y").alias("y"),
+            *[at(k, "x").alias(f"x{k}") for k in LAGS],
+        )
+        .where((F.col("nearest") == 0) & (F.col("anchor") >= first_anchor))
+        .drop("nearest", "first_ts")
     )
 
 
 def regress(rows: DataFrame) -> DataFrame:
-    """One least-squares fit without intercept per (pair, lag)."""
+    """One least-squares fit without intercept per (pair, interval, lag)."""
     sums = [F.count("*").alias("n"), F.sum(F.col("y") * F.col("y")).alias("syy")]
     for k in LAGS:
         x = F.col(f"x{k}")
@@ -104,28 +108,22 @@ def regress(rows: DataFrame) -> DataFrame:
         )
     )
     beta = F.try_divide("sxy", "sxx")
-    residual = F.greatest(F.col("syy") - F.col("beta") * F.col("sxy"), F.lit(0.0))
+    left = F.col("syy") - F.col("beta") * F.col("sxy")
+    residual = F.when(left > PERFECT_FIT * F.col("syy"), left).when(left.isNotNull(), F.lit(0.0))
     variance = F.try_divide(residual, F.col("n") - 1)
     return (
-        rows.groupBy(*PAIR)
+        rows.groupBy(*FIT)
         .agg(*sums)
-        .select(*PAIR, "n", "syy", per_lag)
+        .select(*FIT, "n", "syy", per_lag)
         .withColumn("beta", beta)
-        .withColumn("t_statistic", F.try_divide(F.col("beta"), F.sqrt(F.try_divide(variance, F.col("sxx")))))
-        .select(*PAIR, "lag", "label", "n", "beta", "t_statistic")
+        .withColumn("t_statistic", ieee_ratio(F.col("beta"), F.sqrt(F.try_divide(variance, F.col("sxx")))))
+        .select(*FIT, "lag", "label", "n", "beta", "t_statistic")
     )
 
 
 def lead_lag(series: DataFrame, intervals: list[int], flip_leader: bool = True) -> DataFrame:
     """Coefficients and t statistics for each ordered symbol pair, interval (seconds) and lag."""
-    pairs = joined_returns(series, flip_leader)
-    result = None
-    for seconds in intervals:
-        fit = regress(lagged_rows(standardized_bins(pairs, seconds), seconds)).withColumn(
-            "interval", F.lit(seconds).cast("long")
-        )
-        result = fit if result is None else result.unionByName(fit)
-    return result
+    return regress(lagged_rows(standardized_bins(joined_returns(series, flip_leader), intervals)))
 
 
 def with_p_value(fits: DataFrame) -> DataFrame:
@@ -135,4 +133,4 @@ def with_p_value(fits: DataFrame) -> DataFrame:
 def lead_lag_table(fits: DataFrame, value: str) -> DataFrame:
     """One row per (leader, follower, interval) with a column per regressor, furthest behind first."""
     labels = [lag_label(k) for k in reversed(LAGS)]
-    return fits.groupBy(*PAIR, "interval").pivot("label", labels).agg(F.first(value))
+    return fits.groupBy(*FIT).pivot("label", labels).agg(F.first(value))

@@ -591,9 +591,9 @@ def lead_lag_ctes(intervals: list[int]) -> list[str]:
     from full_bins window w as (partition by leader, follower, interval order by bin))
   where seen and rn > 10)""",
         f"""long_rows as ({long.replace(' as x, y from', ' as x, y5 as y from')})""",
-        """fits as (
-  select *, beta / sqrt(greatest(syy - beta * sxy, 0) / (n - 1) / sxx) as t_statistic
-  from (select leader, follower, interval, lag, count(*) as n, sum(x * y) / sum(x * x) as beta, sum(y * y) as syy,
+        f"""fits as (
+  select *, beta / sqrt(case when syy - beta * sxy > 1e-12 * syy then syy - beta * sxy else 0 end / (n - 1) / sxx) as t_statistic
+  from (select leader, follower, interval, lag, count(*) as n, {div('sum(x * y)', 'sum(x * x)')} as beta, sum(y * y) as syy,
                sum(x * y) as sxy, sum(x * x) as sxx
         from long_rows group by all))""",
     ]
