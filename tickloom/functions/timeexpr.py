@@ -22,11 +22,13 @@ def _check_length(seconds: int) -> int:
 
 def bucket_s(second: Column, seconds: int) -> Column:
     """Start (epoch seconds) of the bucket that holds an epoch second."""
+    second = second.cast("long")
     return second - F.pmod(F.pmod(second, F.lit(DAY_S)), F.lit(_check_length(seconds)))
 
 
 def bucket_ms(ms: Column, seconds: int) -> Column:
     """Start (epoch ms) of the bucket that holds an epoch millisecond."""
+    ms = ms.cast("long")
     return ms - F.pmod(F.pmod(ms, F.lit(DAY_MS)), F.lit(_check_length(seconds) * 1000))
 
 
@@ -80,7 +82,7 @@ def month_of_day(day: Column) -> Column:
 
 
 def minute_start_s(second: Column) -> Column:
-    return second - F.pmod(second, F.lit(60))
+    return second.cast("long") - F.pmod(second, F.lit(60))
 
 
 def minute_iso(second: Column) -> Column:

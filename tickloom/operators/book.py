@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,82 +68,89 @@ def banded_levels(levels: DataFrame) -> DataFrame:
     return stage(spread.withColumn("band", F.spark_partition_id()), "book-levels")
 
 
+def side_bands(levels: DataFrame) -> DataFrame:
+    """Totals per band, the amount before it, and the side's own totals on each of its bands.
+
+    The windows run over a side's bands, of which there are no more than the range shuffle had tasks.
+    """
+    ordered = Window.partitionBy(*SIDE).orderBy("band")
+    earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    bands = levels.groupBy(*SIDE, "band").agg(
+        F.sum("amount").alias("band_amount"),
+        F.sum(F.col("price") * F.col("amount")).alias("band_notional"),
+        F.min("rank").alias("band_best"),
+        F.max_by("price", "rank").alias("band_last_price"),
+        F.max_by("largest", "rank").alias("band_last_amount"),
+    )
+    return bands.select(
+        *SIDE, "band", "band_amount", "band_notional",
+        F.coalesce(F.sum("band_amount").over(earlier), F.lit(0.0)).alias("before"),
+        F.sum("band_amount").over(whole).alias("depth"),
+        F.sum("band_notional").over(whole).alias("notional"),
+        F.first("band_best").over(whole).alias("best_rank"),
+        F.last("band_last_price").over(whole).alias("last_price"),
+        F.last("band_last_amount").over(whole).alias("last_amount"),
+    )
+
+
 def execution_prices(
     levels: DataFrame, sizes: DataFrame, multipliers: list[float], thin_book: str = "extend"
 ) -> DataFrame:
-    """Average price of trading ``multiplier * size`` against each side, best price first.
+    """Per book side: best price, and the average price of trading ``multiplier * size`` against it.
 
     ``levels`` come from :func:`banded_levels`; ``sizes`` has one ``size`` per (symbol, start_ts).
-    Output: symbol, start_ts, bid, multiplier, execution_price. A non-positive or unknown quantity
-    gives null. When the side holds less than the quantity, the last quote's own amount is dropped
-    and all that is missing is priced at the last level (``thin_book="extend"``), or the price is
-    null (``"null"``).
+    Output: symbol, start_ts, bid, best_price and one ``execution_price_<multiplier>`` each. A
+    non-positive or unknown quantity gives null. When the side holds less than the quantity, the
+    last quote's own amount is dropped and all that is missing is priced at the last level
+    (``thin_book="extend"``), or the price is null (``"null"``).
 
     Quantities are accumulated in two steps, so a huge side never passes through one task: first
-    the totals of the bands (no more rows per side than the range shuffle had tasks), then, level
-    by level, only those bands in which some quantity runs out.
+    over the bands' totals, then, level by level, over only those bands in which some quantity
+    runs out.
     """
     if thin_book not in ("extend", "null"):
         raise ValueError(f"unknown thin_book {thin_book!r}")
-
-    sides = levels.groupBy(*SIDE).agg(
-        F.sum("amount").alias("depth"),
-        F.sum(F.col("price") * F.col("amount")).alias("notional"),
-        F.max_by("price", "rank").alias("last_price"),
-        F.max_by("largest", "rank").alias("last_amount"),
-    )
-    quantities = F.array(*[F.lit(float(k)) for k in multipliers])
-    orders = (
-        sides.join(sizes.select(*GROUP, "size"), GROUP)
-        .withColumn("multiplier", F.explode(quantities))
-        .withColumn("quantity", F.col("multiplier") * F.col("size"))
+    names = {k: f"{k:g}" for k in map(float, multipliers)}
+    quantity = {k: F.lit(k) * F.col("size") for k in names}
+    band_end = F.col("before") + F.col("band_amount")
+    runs_out = {k: (F.col("before") < q) & (q < band_end) for k, q in quantity.items()}
+
+    bands = side_bands(levels).join(sizes.select(*GROUP, "size"), GROUP)
+
+    # Levels of the bands in which a quantity runs out; bands before are used whole, later ones not at all.
+    some = reduce(lambda a, b: a | b, runs_out.values())
+    opened = bands.where(some).select(*SIDE, "band", "before", "band_amount", "size")
+    nearer = Window.partitionBy(*SIDE, "band").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    above = F.col("before") + F.coalesce(F.sum("amount").over(nearer), F.lit(0.0))
+    stepped = levels.join(opened, [*SIDE, "band"]).withColumn("above", above)
+
+    def taken(k: float) -> Column:
+        used = F.greatest(F.lit(0.0), F.least(F.col("amount"), quantity[k] - F.col("above")))
+        return F.sum(F.when(runs_out[k], F.col("price") * used))
+
+    partial = stepped.groupBy(*SIDE).agg(*[taken(k).alias(f"partial_{n}") for k, n in names.items()])
+    constants = ["best_rank", "depth", "notional", "last_price", "last_amount", "size"]
+    sides = bands.groupBy(*SIDE).agg(
+        *[F.max(c).alias(c) for c in constants],
+        *[F.sum(F.when(quantity[k] >= band_end, F.col("band_notional"))).alias(f"whole_{n}") for k, n in names.items()],
     )
-    valid = ~F.isnan("quantity") & (F.col("quantity") > 0)
-    deep = F.col("quantity") <= F.col("depth")
 
-    filled = _filled_notional(levels, orders.where(valid & deep).select(*SIDE, "multiplier", "quantity"))
-
-    last_price, quantity = F.col("last_price"), F.col("quantity")
-    extended = F.col("notional") - last_price * F.col("last_amount") + (quantity - F.col("depth")) * last_price
-    thin = extended if thin_book == "extend" else F.lit(None).cast("double")
-    spent = F.when(valid, F.when(deep, F.col("filled")).otherwise(thin))
-    return orders.join(filled, [*SIDE, "multiplier"], "left").select(
-        *SIDE, "multiplier", F.try_divide(spent, quantity).alias("execution_price")
-    )
+    last_price = F.col("last_price")
 
+    def price(k: float) -> Column:
+        q = quantity[k]
+        spent = F.coalesce(F.col(f"`whole_{names[k]}`"), F.lit(0.0)) + F.coalesce(F.col(f"`partial_{names[k]}`"), F.lit(0.0))
+        thin = F.lit(None).cast("double")
+        if thin_book == "extend":
+            thin = F.col("notional") - last_price * F.col("last_amount") + (q - F.col("depth")) * last_price
+        valid = ~F.isnan(q) & (q > 0)
+        return F.when(valid, F.try_divide(F.when(q <= F.col("depth"), spent).otherwise(thin), q))
 
-def _filled_notional(levels: DataFrame, orders: DataFrame) -> DataFrame:
-    """Notional spent on each order's quantity, for orders the side can fill."""
-    band_order = Window.partitionBy(*SIDE).orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
-    totals = (
-        levels.groupBy(*SIDE, "band")
-        .agg(F.sum("amount").alias("band_amount"), F.sum(F.col("price") * F.col("amount")).alias("band_notional"))
-        .withColumn("before", F.coalesce(F.sum("band_amount").over(band_order), F.lit(0.0)))
+    best = F.when(F.col("bid"), -F.col("best_rank")).otherwise(F.col("best_rank")).alias("best_price")
+    return sides.join(partial, SIDE, "left").select(
+        *SIDE, best, *[price(k).alias(f"execution_price_{n}") for k, n in names.items()]
     )
-    needed = totals.join(orders, SIDE).where(F.col("before") < F.col("quantity"))
-    # The quantity runs out in the last band that starts below it; earlier bands are used whole.
-    cut = F.col("quantity") < F.col("before") + F.col("band_amount")
-    whole = needed.where(~cut).select(*SIDE, "multiplier", F.col("band_notional").alias("part"))
-
-    open_bands = (
-        needed.where(cut)
-        .groupBy(*SIDE, "band")
-        .agg(
-            F.first("before").alias("before"),
-            F.collect_list(F.struct("multiplier", "quantity")).alias("pending"),  # one entry per multiplier
-        )
-    )
-    level_order = Window.partitionBy(*SIDE, "band").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    used = F.greatest(
-        F.lit(0.0), F.least(F.col("amount"), F.col("pending.quantity") - F.col("before") - F.col("above"))
-    )
-    partial = (
-        levels.join(open_bands, [*SIDE, "band"])
-        .withColumn("above", F.coalesce(F.sum("amount").over(level_order), F.lit(0.0)))
-        .withColumn("pending", F.explode("pending"))
-        .select(*SIDE, F.col("pending.multiplier").alias("multiplier"), (F.col("price") * used).alias("part"))
-    )
-    return whole.unionByName(partial).groupBy(*SIDE, "multiplier").agg(F.sum("part").alias("filled"))
 
 
 def imbalance(bid_price: Column, ask_price: Column, midpoint: Column) -> Column:
@@ -150,19 +159,27 @@ def imbalance(bid_price: Column, ask_price: Column, midpoint: Column) -> Column:
     return F.when((buy + sell).isNotNull(), ieee_ratio(buy - sell, buy + sell))
 
 
-def liquidity_imbalance(top: DataFrame, prices: DataFrame, multipliers: list[float]) -> DataFrame:
-    """``top`` with ``liquidity_imbalance_<k>avg`` for each multiplier."""
-    picks = []
-    for k in multipliers:
-        for side, is_bid in (("bid", True), ("ask", False)):
-            match = (F.col("multiplier") == float(k)) & (F.col("bid") == F.lit(is_bid))
-            picks.append(F.max(F.when(match, F.col("execution_price"))).alias(f"_{side}_{k:g}"))
-    costs = prices.groupBy(*GROUP).agg(*picks)
-    joined = top.join(costs, GROUP, "left")
-    measures = [
-        imbalance(F.col(f"_bid_{k:g}"), F.col(f"_ask_{k:g}"), F.col("midpoint_ob")).alias(
-            f"liquidity_imbalance_{k:g}avg"
-        )
-        for k in multipliers
-    ]
-    return joined.select(*top.columns, *measures)
+def book_measures(
+    levels: DataFrame, sizes: DataFrame, multipliers: list[float], thin_book: str = "extend"
+) -> DataFrame:
+    """Spread, midpoint and ``liquidity_imbalance_<k>avg`` per (symbol, bucket), all from one pass of side totals."""
+    sides = execution_prices(levels, sizes, multipliers, thin_book)
+    values = {"best": "best_price", **{f"{float(k):g}": f"execution_price_{float(k):g}" for k in multipliers}}
+
+    def of(bid: bool, column: str) -> Column:
+        return F.max(F.when(F.col("bid") == F.lit(bid), F.col(f"`{column}`")))
+
+    wide = sides.groupBy(*GROUP).agg(
+        *[of(True, c).alias(f"bid_{n}") for n, c in values.items()],
+        *[of(False, c).alias(f"ask_{n}") for n, c in values.items()],
+    )
+    midpoint = 0.5 * (F.col("bid_best") + F.col("ask_best"))
+    return wide.withColumn("midpoint_ob", midpoint).select(
+        *GROUP,
+        (F.col("ask_best") - F.col("bid_best")).alias("bid_ask_spread"),
+        "midpoint_ob",
+        *[
+            imbalance(F.col(f"`bid_{n}`"), F.col(f"`ask_{n}`"), F.col("midpoint_ob")).alias(f"liquidity_imbalance_{n}avg")
+            for n in list(values)[1:]
+        ],
+    )

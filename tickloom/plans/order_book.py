@@ -57,10 +57,9 @@ def order_book_series(book: DataFrame, bars: DataFrame, seconds: int = 60, thin_
     wanted = stage(ob.snapshot_times(book, seconds).join(trades, ob.GROUP), "book-times")
     levels = ob.banded_levels(ob.snapshot_levels(book, wanted))
     sizes = wanted.select(*ob.GROUP, F.col("avg_trade_size").alias("size"))
-    top = ob.top_of_book(levels).where(F.col("bid_ask_spread").isNotNull())
-    measured = ob.liquidity_imbalance(top, ob.execution_prices(levels, sizes, MULTIPLIERS, thin_book), MULTIPLIERS)
+    measured = ob.book_measures(levels, sizes, MULTIPLIERS, thin_book)
     return (
-        measured.drop("best_bid", "best_ask")
+        measured.where(F.col("bid_ask_spread").isNotNull())
         .join(wanted.drop("date"), ob.GROUP)
         .withColumn("effective_spread_ob", sp.effective_spread())
         .withColumn("date_display", iso_instant(F.col("start_ts")))

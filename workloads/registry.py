@@ -349,7 +349,13 @@ def execution_price(spark, sf):
     levels = ob.banded_levels(ob.snapshot_levels(_book(spark, sf), times))
     size = F.pmod(F.floor(F.col("start_ts") / (BUCKET * 1000)), F.lit(7)) * 10.0 + 0.25
     sizes = times.select("symbol", "start_ts", size.alias("size"))
-    return comparable(ob.execution_prices(levels, sizes, [1.0, 3.0, 40.0]))
+    multipliers = [1.0, 3.0, 40.0]
+    prices = ob.execution_prices(levels, sizes, multipliers)
+    rows = [
+        F.struct(F.lit(k).alias("multiplier"), F.col(f"execution_price_{k:g}").alias("execution_price"))
+        for k in multipliers
+    ]
+    return comparable(prices.select("symbol", "start_ts", "bid", F.inline(F.array(*rows))))
 
 
 @query
