@@ -16,26 +16,50 @@ def in_range(trades: DataFrame, first_ms: int, last_ms: int) -> DataFrame:
 
 
 def exchange_bars(trades: DataFrame, seconds: int) -> DataFrame:
-    """One row per (bar, exchange, symbol); combined map-side before its only shuffle."""
-    price, amount, sell = F.col("price"), F.col("amount"), F.col("sell")
-    sells = m.is_sell(sell)
-    return (
+    """One row per (bar, exchange, symbol); combined map-side before its only shuffle.
+
+    Only the count and four sums cross the shuffle; totals and flow follow from the two sides.
+    """
+    amount = m.number(F.col("amount"))
+    notional = m.number(F.col("price")) * amount
+    sells = m.is_sell(F.col("sell"))
+
+    def side(value, condition):
+        return F.sum(F.when(condition, value).otherwise(F.lit(0.0)))
+
+    sums = (
         trades.select(
             bucket_ms(F.col("date"), seconds).alias("start_ms"), "exchange", "symbol", "price", "amount", "sell"
         )
         .groupBy("start_ms", "exchange", "symbol")
         .agg(
             F.count("*").alias("number_of_trades"),
-            m.vwap(price, amount).alias("price"),
-            m.volume(amount).alias("amount"),
-            m.order_flow(sell, amount).alias("order_flow"),
-            m.vwap(price, amount, ~sells).alias("price_trades_bid"),
-            m.vwap(price, amount, sells).alias("price_trades_ask"),
-            m.volume(amount, ~sells).alias("volume_trades_bid"),
-            m.volume(amount, sells).alias("volume_trades_ask"),
+            side(notional, ~sells).alias("notional_bid"),
+            side(amount, ~sells).alias("volume_trades_bid"),
+            side(notional, sells).alias("notional_ask"),
+            side(amount, sells).alias("volume_trades_ask"),
         )
     )
 
+    def price(numerator, denominator):
+        return F.coalesce(F.try_divide(numerator, denominator), F.lit(m.NAN))
+
+    bid_notional, ask_notional = F.col("notional_bid"), F.col("notional_ask")
+    bid_volume, ask_volume = F.col("volume_trades_bid"), F.col("volume_trades_ask")
+    return sums.select(
+        "start_ms",
+        "exchange",
+        "symbol",
+        "number_of_trades",
+        price(bid_notional + ask_notional, bid_volume + ask_volume).alias("price"),
+        (bid_volume + ask_volume).alias("amount"),
+        (bid_volume - ask_volume).alias("order_flow"),
+        price(bid_notional, bid_volume).alias("price_trades_bid"),
+        price(ask_notional, ask_volume).alias("price_trades_ask"),
+        "volume_trades_bid",
+        "volume_trades_ask",
+    )
+
 
 def cross_exchange_bars(bars: DataFrame, nan_policy: str = "propagate") -> DataFrame:
     """One row per (bar, symbol) with the best ask and bid over the exchanges and the arbitrage between them.
@@ -50,21 +74,24 @@ def cross_exchange_bars(bars: DataFrame, nan_policy: str = "propagate") -> DataF
     if nan_policy == "ignore":
         best_bid = F.coalesce(F.max(F.when(~F.isnan(bid), bid)), F.lit(m.NAN))
 
-    # One ordered pick per side: the three "of the best price" columns come out of one struct.
-    nothing = F.struct(F.lit("").alias("exchange"), F.lit(0.0).alias("flow"), F.lit(0.0).alias("volume"))
-    ask_side = F.struct(exchange, F.col("order_flow").alias("flow"), F.col("volume_trades_ask").alias("volume"))
-    bid_side = F.struct(exchange, F.col("order_flow").alias("flow"), F.col("volume_trades_bid").alias("volume"))
-    ask_order = F.when(~F.isnan(ask), F.struct(ask, exchange))
-    bid_order = F.when(m.is_positive(bid), F.struct(-bid, exchange))
+    # Per side one minimum over (price, exchange, ...) picks all "of the best price" columns at once;
+    # equal prices go to the smallest exchange name.
+    def pick(price, usable, side_volume):
+        return F.min(F.when(usable, F.struct(
+            price.alias("price"), exchange, F.col("order_flow").alias("flow"), F.col(side_volume).alias("volume")
+        )))
 
+    nothing = F.struct(
+        F.lit(m.NAN).alias("price"), F.lit("").alias("exchange"), F.lit(0.0).alias("flow"), F.lit(0.0).alias("volume")
+    )
     grouped = bars.groupBy("start_ms", "symbol").agg(
         F.sum("number_of_trades").alias("total_number_of_trades"),
         m.vwap(F.col("price"), F.col("amount")).alias("avg_price"),
         m.volume(F.col("amount")).alias("total_volume"),
         F.min("price_trades_ask").alias("min_price_trades_ask"),
-        F.coalesce(F.min_by(ask_side, ask_order), nothing).alias("ask"),
+        F.coalesce(pick(ask, ~F.isnan(ask), "volume_trades_ask"), nothing).alias("ask"),
         best_bid.alias("max_price_trades_bid"),
-        F.coalesce(F.min_by(bid_side, bid_order), nothing).alias("bid"),
+        F.coalesce(pick(-bid, m.is_positive(bid), "volume_trades_bid"), nothing).alias("bid"),
         F.sum("order_flow").alias("total_order_flow"),
     )
     return (

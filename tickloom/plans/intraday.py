@@ -13,6 +13,7 @@ from tickloom.functions.timeexpr import (
 from tickloom.operators.cleaning import PRICE_RANGES, day_rules, range_rules
 from tickloom.operators.grid import on_grid, zero_fill
 from tickloom.operators.rates import PairRates, join_base_rate, join_quote_rate
+from tickloom.session import stage
 
 SUMS = ["total_number_of_trades", "total_volume_in_usd", "total_order_flow_in_usd", "arbitrage_profit_in_usd"]
 MEANS = ["arbitrage_spread_as_midpoint_bips", "price_parity"]
@@ -52,7 +53,8 @@ def filled_bins(
         sp.in_usd("arbitrage_profit", "usd_rate_average_daily_price").alias("arbitrage_profit_in_usd"),
         *MEANS,
     )
-    grid = on_grid(priced, "start_ts", day_arg_to_ms(first_day), day_arg_to_ms(end_day), seconds * 1000)
+    # the bins are read for their symbols and for the grid; stage them rather than aggregate twice
+    grid = on_grid(stage(priced, "bins"), "start_ts", day_arg_to_ms(first_day), day_arg_to_ms(end_day), seconds * 1000)
     return zero_fill(grid, ["return", "logreturn", *SUMS])
 
 

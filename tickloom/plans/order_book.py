@@ -70,7 +70,7 @@ def order_book_series(book: DataFrame, bars: DataFrame, seconds: int = 60, thin_
 def clean_book_series(
     series: DataFrame, rates: DataFrame, pairs: list[PairRates], outlier_seconds: int
 ) -> DataFrame:
-    """Series without implausible or outlying spreads, with spread in bps and order flow in dollars.
+    """Series (read twice) without implausible or outlying spreads, with spread in bps and flow in dollars.
 
     Order flow is in base currency; unlike elsewhere a missing rate leaves the dollar flow unknown.
     """
@@ -95,7 +95,7 @@ def book_intraday_breakdown(
     series: DataFrame, first_day: str, end_day: str, seconds: int = 60, group_seconds: int = 3600,
     skip_empty: bool = False,
 ) -> DataFrame:
-    """Average quoted and effective spread (bps) by minute of day.
+    """Average quoted and effective spread (bps) by minute of day. ``series`` is read twice; pass a table.
 
     A group without data enters the average as 0 unless ``skip_empty``.
     """

@@ -54,7 +54,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     compares with the broadcast threshold.
     """
     spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    path = f"{shared_dir(spark)}/tickloom-{app}/{name}-{uuid.uuid4().hex}"
+    path = f"{_staging_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _staging_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tickloom-{spark.sparkContext.applicationId}"
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete this application's staged tables, once its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_staging_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
