@@ -13,6 +13,7 @@ from tickloom.functions.timeexpr import bucket_s, day_of_ts, month_of_day, month
 from tickloom.operators.cleaning import PRICE_RANGES, day_rules, range_rules
 from tickloom.operators.descriptive import describe
 from tickloom.operators.rates import PairRates, join_base_rate, join_quote_rate, join_rate
+from tickloom.sources.schemas import MONTHLY_MEASURES
 
 MINUTES_PER_MONTH = 60 * 24 * 30
 
@@ -100,6 +101,7 @@ def monthly_measures(
         _spread_measures(_spread_rows(bars, keep))
         .join(profit, key)
         .join(monthly_volatility(minute_returns(bars, keep, seconds=return_seconds)), key)
+        .select(*MONTHLY_MEASURES.names)
     )
 
 
@@ -128,6 +130,7 @@ def monthly_measures_usd_pair(bars: DataFrame, rates: DataFrame, return_seconds:
         spread.join(monthly_rate, key)
         .join(volume, key)
         .join(monthly_volatility(minute_returns(usd_bars, keep, seconds=return_seconds)), key)
+        .select(*MONTHLY_MEASURES.names)
     )
 
 

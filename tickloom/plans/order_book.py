@@ -15,6 +15,7 @@ from tickloom.operators.grid import on_grid
 from tickloom.operators.rates import PairRates, join_rate, rate_symbol
 from tickloom.plans.zero_fill import cleaned_bars
 from tickloom.session import stage
+from tickloom.sources.schemas import BOOK_SERIES, CLEAN_SERIES
 
 MULTIPLIERS = [1.0, 2.0, 3.0]
 CLEAN_STATISTICS = [
@@ -64,6 +65,7 @@ def order_book_series(book: DataFrame, bars: DataFrame, seconds: int = 60, thin_
         .withColumn("effective_spread_ob", sp.effective_spread())
         .withColumn("date_display", iso_instant(F.col("start_ts")))
         .withColumnRenamed("start_ts", "start_ts_ob")
+        .select(*BOOK_SERIES.names)
     )
 
 
@@ -81,9 +83,9 @@ def clean_book_series(
     dated = kept.withColumn("bid_ask_spread_bps", sp.as_bps("bid_ask_spread")).withColumn(
         "day", day_of_ms(F.col("start_ts_ob"))
     )
-    return join_rate(dated, rates, rate_symbol(pairs, "base_rate"), "usd_rate").withColumn(
-        "total_order_flow_usd", F.col("total_order_flow") * F.col("usd_rate_average_daily_price")
-    )
+    priced = join_rate(dated, rates, rate_symbol(pairs, "base_rate"), "usd_rate")
+    flow = F.col("total_order_flow") * F.col("usd_rate_average_daily_price")
+    return priced.withColumn("total_order_flow_usd", flow).select(*CLEAN_SERIES.names)
 
 
 def clean_book_statistics(clean: DataFrame) -> DataFrame:
