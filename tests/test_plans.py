@@ -185,4 +185,5 @@ def test_plot_series(spark):
 def test_stage_uses_the_configured_folder(spark):
     staged = stage(spark.range(3), "demo")
     assert shared_dir(spark).removeprefix("file:").rstrip("/") in staged.inputFiles()[0]
-    assert staged.schema == spark.range(3).schema
+    assert staged.dtypes == spark.range(3).dtypes
+    assert sorted(r.id for r in staged.collect()) == [0, 1, 2]
