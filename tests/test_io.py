@@ -145,11 +145,20 @@ def test_jobs_end_to_end(spark, provider, tmp_path):
     filled = run("zero-filled-stats", "--bars", bars, *period)
     volatility = next(p for n, p in filled.items() if "volatility" in n)
     assert rows(volatility).count() == 3
-    run("monthly-tables", "--measures", measure_path, "--volatility", volatility, "--months", "2024-01")
+    tables = run("monthly-tables", "--measures", measure_path, "--volatility", volatility)
+    assert rows(next(p for n, p in tables.items() if "total_volume" in n)).columns == ["symbol", "2024-01"]
     breakdown = run("intraday-breakdown", "--bars", bars, *rates, *pairs, *period)
     assert all(rows(p).count() == 72 for p in breakdown.values())
     tri = run("triangulation", "--bars", bars, "--triangle", "btcusdt", "btcusd", "usdtusd")
     assert rows(next(iter(tri.values()))).count() == 1
+    assert len(run("triangle-tables", "--measures", *tri.values())) == 9 + 2
+    activity = next(p for n, p in breakdown.items() if "activity" in n)
+    (parity_report,) = run("parity-table", "--breakdown", activity).values()
+    assert rows(parity_report).count() == 3
+    (points,) = run("breakdown-points", "--breakdown", activity).values()
+    assert rows(points).count() == 72 * 9
+    (plot,) = run("plot-series", "--bars", bars, "--column", "total_volume", "--aggregation", "sum", "--samples", 5).values()
+    assert rows(plot).count() == 3
 
     series = []
     for symbol, base in (("btcusd", 100.0), ("btcusdt", 101.0)):
@@ -170,7 +179,13 @@ def test_jobs_end_to_end(spark, provider, tmp_path):
     assert readers.read_book_series(spark, clean_path, clean=True).where("usd_rate = 'btcusd' and total_order_flow_usd is not null").count() > 100
     run("statistics-tables", "--statistics", next(p for n, p in clean.items() if n.startswith("statistics")))
     run("book-intraday-breakdown", "--series", *series, *period)
-    assert rows(next(iter(run("intra-pair-correlation", "--series", clean_path).values()))).count() == 2 * 28
-    assert rows(next(iter(run("cross-pair-correlation", "--series", clean_path).values()))).count() == 4
+    (intra,) = run("intra-pair-correlation", "--series", clean_path).values()
+    assert rows(intra).count() == 2 * 28
+    (cross,) = run("cross-pair-correlation", "--series", clean_path).values()
+    assert rows(cross).count() == 4
+    both = run("correlation-tables", "--file5", cross, "--file60", cross, "--significance-threshold", 0.05)
+    assert [rows(p).count() for p in both.values()] == [8, 8]
+    single = run("single-pair-correlation-tables", "--file5", intra, "--file60", intra)
+    assert [rows(p).count() for p in single.values()] == [12, 12]
     lead = run("lead-lag", "--series", clean_path)
     assert len(lead) == 2

@@ -212,7 +212,7 @@ def triangulate(c: Context) -> None:
 
 @job(
     "monthly-tables", arg("--measures", required=True, nargs="+"), arg("--volatility", nargs="+"),
-    arg("--months", required=True, nargs="+", metavar="YYYY-MM"),
+    arg("--months", nargs="+", metavar="YYYY-MM", help="columns of the tables, default all months"),
 )
 def monthly_tables(c: Context) -> None:
     a = c.args
@@ -229,6 +229,72 @@ def monthly_tables(c: Context) -> None:
     writers.write_report(reports.arbitrage_summary(table), c.path("arbitrage_summary"), "symbol")
 
 
+@job("triangle-tables", arg("--measures", required=True, nargs="+"), arg("--months", nargs="+", metavar="YYYY-MM"))
+def triangle_tables(c: Context) -> None:
+    table = c.table(c.args.measures, schemas.TRIANGLE_MONTHLY)
+    for column, factor in reports.TRIANGLE_TABLES.items():
+        pivot = reports.monthly_pivot(table, column, c.args.months, factor)
+        writers.write_report(pivot, c.path(f"triangle_table_{column}"), "symbol")
+    for side in ("sell", "buy"):
+        writers.write_report(reports.arbitrage_summary(table, side), c.path(f"triangle_{side}_summary"), "symbol")
+
+
+CORRELATION_FILES = (
+    arg("--file5", required=True, nargs="+", help="correlations at the finer interval"),
+    arg("--file60", required=True, nargs="+", help="correlations at the coarser interval"),
+    arg("--significance-threshold", type=float),
+)
+
+
+@job("correlation-tables", *CORRELATION_FILES, arg("--threshold", type=float))
+def correlation_tables(c: Context) -> None:
+    """Cross-pair matrices: the finer interval above the diagonal, the coarser below."""
+    a = c.args
+    fine, coarse = (c.table(p, schemas.CROSS_CORRELATIONS) for p in (a.file5, a.file60))
+    names = fine.select(F.explode(F.array("first", "second")).alias("symbol")).distinct()
+    symbols = sorted(row.symbol for row in names.collect())  # one short string per instrument
+    matrix = reports.correlation_matrix(fine, coarse, symbols, ["measure"], a.threshold, a.significance_threshold)
+    for value in ("correlation", "significance"):
+        table = reports.matrix_table(matrix, ["measure"], symbols, value)
+        writers.write_report(table, c.path(f"cross_pair_{value}_matrix"), "measure", "entity")
+
+
+@job("single-pair-correlation-tables", *CORRELATION_FILES, arg("--symbols", nargs="+", default=reports.MAIN_PAIRS))
+def single_pair_correlation_tables(c: Context) -> None:
+    """Measure matrices of each pair: the finer interval below the diagonal, the coarser above."""
+    a = c.args
+    wanted = F.col("symbol").isin(*a.symbols)
+    fine, coarse = (c.table(p, schemas.INTRA_CORRELATIONS).where(wanted) for p in (a.file5, a.file60))
+    shown = sorted(set(correlation.INTRA_MEASURES) - set(reports.OMITTED_MEASURES))
+    matrix = reports.correlation_matrix(coarse, fine, shown, ["symbol"], None, a.significance_threshold)
+    for value in ("correlation", "significance"):
+        table = reports.matrix_table(matrix, ["symbol"], shown, value)
+        writers.write_report(table, c.path(f"single_pair_{value}_matrix"), "symbol", "entity")
+
+
+@job("parity-table", arg("--breakdown", required=True, nargs="+"))
+def parity_table(c: Context) -> None:
+    breakdown = c.table(c.args.breakdown, schemas.INTRADAY_BREAKDOWN)
+    writers.write_report(reports.parity_table(breakdown), c.path("price_parity"), "symbol")
+
+
+@job("breakdown-points", arg("--breakdown", required=True, nargs="+"))
+def breakdown_points(c: Context) -> None:
+    breakdown = reports.clipped_parity(c.table(c.args.breakdown, schemas.INTRADAY_BREAKDOWN))
+    measures = [n for n in breakdown.columns if n not in ("symbol", "start_minute_of_day")]
+    points = reports.breakdown_points(breakdown, measures)
+    writers.write_report(points, c.path("breakdown_points"), "symbol", "measure", "hour")
+
+
+@job(
+    "plot-series", BARS, arg("--column", required=True), arg("--aggregation", choices=("avg", "max", "min", "sum", "count")),
+    arg("--samples", type=int),
+)
+def plot_series(c: Context) -> None:
+    points = reports.plot_series(c.bars(), c.args.column, c.args.aggregation, c.args.samples)
+    writers.write_report(points, c.path(f"plot_{c.args.column}"), "symbol", "x")
+
+
 @job("statistics-tables", arg("--statistics", required=True, nargs="+"))
 def statistics_tables(c: Context) -> None:
     statistics = c.table(c.args.statistics, schemas.STATISTICS)

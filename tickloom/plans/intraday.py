@@ -14,6 +14,7 @@ from tickloom.operators.cleaning import PRICE_RANGES, day_rules, range_rules
 from tickloom.operators.grid import on_grid, zero_fill
 from tickloom.operators.rates import PairRates, join_base_rate, join_quote_rate
 from tickloom.session import stage
+from tickloom.sources.schemas import INTRADAY_BREAKDOWN
 
 SUMS = ["total_number_of_trades", "total_volume_in_usd", "total_order_flow_in_usd", "arbitrage_profit_in_usd"]
 MEANS = ["arbitrage_spread_as_midpoint_bips", "price_parity"]
@@ -81,7 +82,7 @@ def intraday_breakdown(bins: DataFrame, group_seconds: int = 3600) -> DataFrame:
         *[F.avg(c).alias(c) for c in SUMS],
         m.avg_if_not_null(F.col("arbitrage_spread_as_midpoint_bips")).alias("avg_arbitrage_spread_as_midpoint_bips"),
         m.avg_if_not_null(F.col("price_parity")).alias("avg_price_parity"),
-    )
+    ).select(*INTRADAY_BREAKDOWN.names)
 
 
 def intraday_variance(bins: DataFrame, group_seconds: int = 3600) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.measures import aggregate_by_name
@@ -45,8 +45,8 @@ TRIANGLE_TABLES = {
 }
 
 
-def monthly_pivot(monthly: DataFrame, column: str, months: list[str], factor: float = 1.0) -> DataFrame:
-    """Symbol x month table of one column; two rows for one cell fail the query."""
+def monthly_pivot(monthly: DataFrame, column: str, months: list[str] | None = None, factor: float = 1.0) -> DataFrame:
+    """Symbol x month table of one column, for the given months or all; two rows for one cell fail the query."""
     value = F.col(column).cast("double")
     cell = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("more than one row for a symbol and month")).cast("double"))
     return monthly.groupBy("symbol").pivot("year_month", months).agg(

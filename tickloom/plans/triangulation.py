@@ -10,6 +10,7 @@ from tickloom.functions import spreads as sp
 from tickloom.functions.timeexpr import month_of_ts
 from tickloom.operators.triangle import Triangle, triangulate
 from tickloom.plans.monthly import minute_returns, monthly_volatility
+from tickloom.sources.schemas import TRIANGLE_MONTHLY
 
 
 def triangulation(bars: DataFrame, triangles: list[Triangle]) -> DataFrame:
@@ -54,4 +55,5 @@ def triangulation_monthly(series: DataFrame, return_seconds: int = 60) -> DataFr
         .withColumn("ratio_stddev_avg_price", F.try_divide("stddev_price", "avg_price"))
     )
     returns = minute_returns(series, known, "avg_stable_usd_price", return_seconds)
-    return measures.join(monthly_volatility(returns), ["year_month", "symbol"], "left")
+    joined = measures.join(monthly_volatility(returns), ["year_month", "symbol"], "left")
+    return joined.select(*TRIANGLE_MONTHLY.names)

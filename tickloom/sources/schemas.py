@@ -76,3 +76,18 @@ MONTHLY_VOLATILITY = _table(
     ("year_month", _S), ("symbol", _S), ("monthly_volatility_logreturns", _D),
     ("annualized_monthly_volatility_logreturns", _D),
 )
+
+TRIANGLE_MONTHLY = _table(
+    ("year_month", _S), ("symbol", _S), ("sell_arbitrage_profit_in_usd", _D), ("buy_arbitrage_profit_in_usd", _D),
+    ("average_sell_arbitrage_spread_bips", _D), ("average_buy_arbitrage_spread_bips", _D),
+    ("number_of_seconds_sell_arbitrage_spread_positive", _L), ("number_of_seconds_buy_arbitrage_spread_positive", _L),
+    ("total_volume_in_usd", _D), ("avg_price", _D), ("stddev_price", _D), ("ratio_stddev_avg_price", _D),
+    ("volatility_minute_returns", _D), ("volatility_minute_returns_monthly", _D),
+)
+
+INTRADAY_BREAKDOWN = _table(
+    ("start_minute_of_day", _L), ("symbol", _S), ("avg_total_volume_in_usd_as_daily_percentage", _D),
+    ("avg_total_number_of_trades_as_daily_percentage", _D), ("avg_arbitrage_profit_in_usd_as_daily_percentage", _D),
+    ("total_number_of_trades", _D), ("total_volume_in_usd", _D), ("total_order_flow_in_usd", _D),
+    ("arbitrage_profit_in_usd", _D), ("avg_arbitrage_spread_as_midpoint_bips", _D), ("avg_price_parity", _D),
+)

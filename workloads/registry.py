@@ -275,7 +275,8 @@ def zero_filled_series(spark, sf):
 
 @query
 def zero_filled_statistics(spark, sf):
-    return comparable(zero_fill.zero_filled_statistics(*_filled(spark, sf)))
+    series, filled = _filled(spark, sf)
+    return comparable(zero_fill.zero_filled_statistics(series, stage(filled, "filled")))
 
 
 @query
@@ -448,7 +449,7 @@ def lead_lag_table(spark, sf):
 @query
 def correlation_matrix(spark, sf):
     clean = stage(_clean_series(spark, sf), "clean")
-    fast = corr.with_significance(corr.cross_pair(clean, BUCKET))
+    fast = stage(corr.with_significance(corr.cross_pair(clean, BUCKET)), "fast")
     slow = corr.with_significance(corr.cross_pair(clean, DAY))
     return comparable(reports.correlation_matrix(fast, slow, sorted(SYMBOLS), ["measure"], 0.02, 0.5))
 
@@ -457,7 +458,7 @@ def correlation_matrix(spark, sf):
 def single_pair_matrix(spark, sf):
     clean = stage(_clean_series(spark, sf), "clean")
     fast = corr.with_significance(corr.intra_pair(clean, BUCKET))
-    slow = corr.with_significance(corr.intra_pair(clean, DAY))
+    slow = stage(corr.with_significance(corr.intra_pair(clean, DAY)), "slow")
     shown = sorted(set(corr.INTRA_MEASURES) - set(reports.OMITTED_MEASURES))
     matrix = reports.correlation_matrix(slow, fast, shown, ["symbol"], None, 0.1)
     return comparable(reports.matrix_table(matrix, ["symbol"], shown))
