@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import packing, substring_dedup, token_files
+from tickloom.llm import jaccard_join, packing, substring_dedup, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +36,8 @@ def op10_token_files(spark, sf_dir):
     path = token_files.new_path(spark)
     token_files.write(table(spark, sf_dir, "documents"), path)
     return token_files.read_documents(spark, path)
+
+
+@query
+def op9_parity_sketch_join(spark, sf_dir):
+    return jaccard_join.linked_components(table(spark, sf_dir, "documents"))
