@@ -42,6 +42,10 @@ def _hash(keys: np.ndarray, seed: int) -> np.ndarray:
     return mix(mix(keys.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(seed))
 
 
+def _displaced(base: np.ndarray, displacement: np.ndarray, n: int) -> np.ndarray:
+    return (mix(base + displacement * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(n)).astype(np.int64)
+
+
 def perfect_hash(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Displacements per bucket, and each key's slot: a bijection of the distinct keys onto range(len(keys))."""
     n = len(keys)
@@ -49,14 +53,14 @@ def perfect_hash(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bucket = (_hash(keys, 1) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     begin = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    second, step = _hash(keys, 2), _hash(keys, 3) | np.uint64(1)
+    second = _hash(keys, 2)
     taken, displacement, slot = np.zeros(n, dtype=bool), np.zeros(buckets, dtype=np.int64), np.zeros(n, dtype=np.int64)
     sizes = np.diff(begin)
     for b in np.argsort(-sizes, kind="stable")[: np.count_nonzero(sizes > 1)].tolist():
         own = order[begin[b] : begin[b + 1]]
-        base, by, d = second[own], step[own], 0
+        base, d = second[own], 0
         while True:
-            tries = ((base + by * np.arange(d, d + 64, dtype=np.uint64)[:, None]) % np.uint64(n)).astype(np.int64)
+            tries = _displaced(base, np.arange(d, d + 64, dtype=np.uint64)[:, None], n)
             free = ~taken[tries].any(axis=1)
             for i in np.flatnonzero(free):
                 if len(np.unique(tries[i])) == len(own):
@@ -76,8 +80,7 @@ def perfect_hash(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def find_slots(keys: np.ndarray, displacements: np.ndarray, n: int) -> np.ndarray:
     d = displacements[(_hash(keys, 1) % np.uint64(len(displacements))).astype(np.int64)]
-    tried = (_hash(keys, 2) + (_hash(keys, 3) | np.uint64(1)) * np.maximum(d, 0).astype(np.uint64)) % np.uint64(n)
-    return np.where(d < 0, -1 - d, tried.astype(np.int64))
+    return np.where(d < 0, -1 - d, _displaced(_hash(keys, 2), np.maximum(d, 0).astype(np.uint64), n))
 
 
 def fingerprint(keys: np.ndarray) -> np.ndarray:
