@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import jaccard_join, packing, substring_dedup, token_files
+from tickloom.llm import decontamination, jaccard_join, licenses, packing, substring_dedup, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +41,14 @@ def op10_token_files(spark, sf_dir):
 @query
 def op9_parity_sketch_join(spark, sf_dir):
     return jaccard_join.linked_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_decontamination(spark, sf_dir):
+    scored = decontamination.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return scored.drop("items")
+
+
+@query
+def op7_license_digests(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
