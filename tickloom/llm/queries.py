@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import decontamination, jaccard_join, licenses, packing, substring_dedup, token_files
+from tickloom.llm import decontamination, jaccard_join, licenses, packing, secret_scan, substring_dedup, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +52,8 @@ def op4_decontamination(spark, sf_dir):
 @query
 def op7_license_digests(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_secret_scan(spark, sf_dir):
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
