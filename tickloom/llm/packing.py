@@ -31,7 +31,9 @@ MAX_TOKENS = 1024
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces of one length that one group ranks.
-RANKED_TOGETHER = 50_000
+RANKED_TOGETHER = 1_000
+#: Ranks of one cell of the range join.
+CELL_RANKS = 50_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -142,8 +144,8 @@ def place(
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("in_group", F.row_number().over(within) - 1).join(groups, ["length", "salt"])
     ranked = ranked.withColumn("rank", F.col("base") + F.col("in_group")).drop("base", "in_group", "salt")
-    # the runs of a length tile its ranks, so a piece meets its run through the cells of RANKED_TOGETHER ranks they cover
-    cell = lambda c: F.floor(c / F.lit(RANKED_TOGETHER))
+    # the runs of a length tile its ranks, so a piece meets its run through the cells of CELL_RANKS ranks they cover
+    cell = lambda c: F.floor(c / F.lit(CELL_RANKS))
     runs = runs.withColumn(
         "cell", F.explode(F.sequence(cell(F.col("run_first")), cell(F.col("run_first") + F.col("run_pieces") - 1)))
     )

@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 16 << 20
-CACHE_PIECES = 500_000
+SLICE_BYTES = 8 << 20
+CACHE_PIECES = 400_000
 _CLOSED = re.compile(r"(?s)(.*[^\W\d_])([.,!?|%&#$*;:]+)")
 _PLAIN = re.compile(r"\n?\S+")
 #: Pieces that any pre-tokenizer of the two kinds below takes as one unit, and whose normal form is their lower case.
