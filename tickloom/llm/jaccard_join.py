@@ -228,7 +228,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, size: int,
 
 
 def linked_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
+    """Per row of ``docs``: doc_id, tag (hash of its text), n_shingles, component_id (the smallest doc_id links reach)."""
     rows = docs.select(
         "doc_id", "text", F.coalesce("doc_id", F.expr(LEAST_ID)).alias("id"), F.hash(F.coalesce("text", F.lit(""))).alias("tag")
     )
@@ -271,6 +271,20 @@ def linked_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCE
     least = classes.join(found.withColumnRenamed("node", "s"), "s", "left").select("s", F.coalesce("component", "s").alias("c"), F.col("rep.id").alias("id"))
     smallest = least.groupBy("c").agg(F.min("id").alias("component_id"))
     of_set = stage(least.select("s", "c").distinct().join(smallest, "c").select("s", "component_id"), "set-components")
-    out = sets.select("doc_id", "id", "n", "s").join(of_set, "s", "left")
+    out = sets.select("doc_id", "id", "tag", "n", "s").join(of_set, "s", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select("doc_id", "tag", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def linked_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of ``docs``."""
+    return linked_components(docs, size, percent).drop("tag")
+
+
+def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``docs``, all columns, with one document of each component: the smallest doc_id (rows of one doc_id and text stay together)."""
+    found = linked_components(docs, size, percent)
+    id_ = F.coalesce("doc_id", F.expr(LEAST_ID))
+    gone = found.where(id_ != F.col("component_id")).select(id_.alias("_id"), F.col("tag").alias("_tag")).distinct()
+    same = (F.coalesce(docs["doc_id"], F.expr(LEAST_ID)) == F.col("_id")) & (F.hash(F.coalesce(docs["text"], F.lit(""))) == F.col("_tag"))
+    return docs.join(gone, same, "left_anti")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import decontamination, jaccard_join, licenses, packing, secret_scan, substring_dedup, token_files
+from tickloom.llm import decontamination, jaccard_join, licenses, packing, quality, secret_scan, substring_dedup, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,7 +40,7 @@ def op10_token_files(spark, sf_dir):
 
 @query
 def op9_parity_sketch_join(spark, sf_dir):
-    return jaccard_join.linked_components(table(spark, sf_dir, "documents"))
+    return jaccard_join.linked_documents(table(spark, sf_dir, "documents"))
 
 
 @query
@@ -57,3 +57,8 @@ def op7_license_digests(spark, sf_dir):
 @query
 def op6_secret_scan(spark, sf_dir):
     return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_importance_resampling(spark, sf_dir):
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
