@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.tokens import SLICE_BYTES, PieceEncoder
+from tickloom.llm.tokens import SLICE_BYTES, worker_encoder
 from tickloom.llm.words import slices
 from tickloom.session import stage
 
@@ -45,7 +45,7 @@ def cut(n: int, most: int) -> list[tuple[int, int]]:
 
 def _emit_pieces(vocabulary: str, end_id: int, most: int, with_ids: bool) -> Callable:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(vocabulary)
+        encoder = worker_encoder(vocabulary)
         for batch in batches:
             for part in slices(batch, limit=SLICE_BYTES):
                 ids, begin = encoder.encode(part.column("text"), end_id)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.tokens import SLICE_BYTES, PieceEncoder
+from tickloom.llm.tokens import SLICE_BYTES, worker_encoder
 from tickloom.llm.words import mix, slices
 from tickloom.session import shared_dir
 
@@ -117,7 +117,7 @@ def _emit_shards(vocabulary: str, end_id: int, shard_tokens: int, schema: pa.Sch
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part = PieceEncoder(vocabulary), TaskContext.get().partitionId()
+        encoder, part = worker_encoder(vocabulary), TaskContext.get().partitionId()
         shard, number, before = _Shard(), 0, 0
         for batch in batches:
             for rows in slices(batch, limit=SLICE_BYTES):

@@ -7,6 +7,7 @@ of other kinds, are encoded whole. Results equal the library's own on the whole
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -16,11 +17,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 8 << 20
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_200_000
+_CLOSING = frozenset(".,!?|%&#$*;:")
 _CLOSED = re.compile(r"(?s)(.*[^\W\d_])([.,!?|%&#$*;:]+)")
 _PLAIN = re.compile(r"\n?\S+")
 #: Pieces that any pre-tokenizer of the two kinds below takes as one unit, and whose normal form is their lower case.
-_LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 def tokenizer_path(name: str) -> str:
@@ -54,9 +56,10 @@ class PieceEncoder:
 
     def _forget(self) -> None:
         self.places: tuple[dict[str, int], dict[str, int]] = ({}, {})  # pieces after a space, and at a text's start
-        self.begin, self.sizes, self.odd = [], [], []
         self.flat = np.zeros(1 << 20, dtype=np.uint32)
-        self.used = 0
+        self.begin = np.zeros(1 << 16, dtype=np.int64)  # where each known piece begins in ``flat``, with the end
+        self.odd = np.zeros(1 << 16, dtype=bool)
+        self.known = 0
 
     @staticmethod
     def _kind(spec: dict) -> str:
@@ -85,49 +88,62 @@ class PieceEncoder:
         out: list = [None] * len(texts)
         rest = []
         for i, text in enumerate(texts):
-            if _LETTERS.fullmatch(text) and not (lower and text[0] == " "):
-                text = text.lower() if lower else text
-                out[i] = [t.id for t in merge(text.encode().decode("latin-1").translate(self.visible))]
+            word = text if lower or text[:1] != " " else text[1:]
+            if word.isascii() and word.isalpha():
+                text = word.lower() if lower else word if word is text else "\u0120" + word
+            elif _LETTERS.fullmatch(word):
+                text = (text.lower() if lower else text).encode().decode("latin-1").translate(self.visible)
             else:
                 rest.append(i)
+                continue
+            out[i] = [t.id for t in merge(text)]
         for i, ids in zip(rest, self._encode([texts[i] for i in rest])):
             out[i] = ids
         return out
 
-    def _append(self, ids: list[int], odd: bool) -> int:
-        n = len(ids)
-        if self.used + n > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), n), dtype=np.uint32)])
-        self.flat[self.used : self.used + n] = ids
-        self.begin.append(self.used)
-        self.sizes.append(n)
-        self.odd.append(odd)
-        self.used += n
-        return len(self.sizes) - 1
+    def _append(self, ids: list[list[int]], odd: list[bool]) -> int:
+        """Add pieces to the table; the place of the first."""
+        n, first = len(ids), self.known
+        ends = self.begin[first] + np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=n))
+        used, total = int(self.begin[first]), int(ends[-1]) if n else int(self.begin[first])
+        while total > len(self.flat):
+            self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
+        while first + n + 1 > len(self.begin):
+            self.begin, self.odd = np.r_[self.begin, np.zeros_like(self.begin)], np.r_[self.odd, np.zeros_like(self.odd)]
+        self.flat[used:total] = np.fromiter(itertools.chain.from_iterable(ids), dtype=np.uint32, count=total - used)
+        self.begin[first + 1 : first + n + 1] = ends
+        self.odd[first : first + n] = odd
+        self.known += n
+        return first
 
     def _look_up(self, pieces: list[str], first: bool) -> np.ndarray:
         """Places of pieces in the table of known ones, encoding the new."""
-        places, space = self.places[first], "" if first or self.kind == "dropped" else " "
+        places, space, spaced = self.places[first], "" if first or self.kind == "dropped" else " ", self.kind == "spaced"
         new = [p for p in pieces if p not in places]
-        full = [p if p[:1] == "\n" else space + p for p in new]
-        parts = [m.groups() if (m := _CLOSED.fullmatch(p)) else (p,) for p in full]
-        ids = dict(zip(units := [*dict.fromkeys(x for p in parts for x in p)], self._units(units)))
-        spaced = self.kind == "spaced"
-        for p, part in zip(new, parts):
-            places[p] = self._append(ids[part[0]] if len(part) == 1 else ids[part[0]] + ids[part[1]], spaced and not _PLAIN.fullmatch(p))
-        return np.array([places[p] for p in pieces], dtype=np.int64)
+        if new:
+            parts: list[tuple[str, ...]] = []
+            for p in new:
+                full = p if p[:1] == "\n" else space + p
+                closed = _CLOSED.fullmatch(full) if full[-1:] in _CLOSING else None
+                parts.append(closed.groups() if closed else (full,))
+            units = [*dict.fromkeys(itertools.chain.from_iterable(parts))]
+            ids = dict(zip(units, self._units(units)))
+            odd = [not _PLAIN.fullmatch(p) for p in new] if spaced else [False] * len(new)
+            at = self._append([ids[x[0]] if len(x) == 1 else ids[x[0]] + ids[x[1]] for x in parts], odd)
+            places.update(zip(new, range(at, at + len(new))))
+        return np.fromiter(map(places.__getitem__, pieces), dtype=np.int64, count=len(pieces))
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and where each text begins, with the end. Null: an empty text."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         n = len(texts)
-        if len(self.sizes) > CACHE_PIECES:
+        if self.known > CACHE_PIECES:
             self._forget()
         at, doc = self._cut(texts) if self.kind != "whole" else self._entire(texts, np.arange(n))
-        sizes, begin = np.array(self.sizes, dtype=np.int64), np.array(self.begin, dtype=np.int64)
-        lengths = sizes[at]
+        begin = self.begin[at]
+        lengths = self.begin[at + 1] - begin
         total = int(lengths.sum())
-        source = np.arange(total) + np.repeat(begin[at] - (np.cumsum(lengths) - lengths), lengths)
+        source = np.arange(total) + np.repeat(begin - (np.cumsum(lengths) - lengths), lengths)
         counts = np.bincount(doc, weights=lengths, minlength=n).astype(np.int64)
         if end_id is None:
             return self.flat[source], np.r_[0, np.cumsum(counts)]
@@ -138,7 +154,7 @@ class PieceEncoder:
     def _entire(self, texts: pa.Array, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whole texts as table entries that no piece refers to."""
         ids = self._encode(texts.take(pa.array(rows)).to_pylist())
-        return np.array([self._append(x, False) for x in ids], dtype=np.int64), rows
+        return self._append(ids, [False] * len(ids)) + np.arange(len(ids)), rows
 
     def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """For each piece in order, its place in the table of known pieces, and its text."""
@@ -152,7 +168,7 @@ class PieceEncoder:
         if not spaced:
             return at, doc
         odd = np.zeros(len(texts), dtype=bool)
-        odd[doc[np.array(self.odd, dtype=bool)[at]]] = True
+        odd[doc[self.odd[at]]] = True
         first = pieces.take(pa.array(bounds[:-1])).dictionary_encode()  # no space stands before these
         at[bounds[:-1]] = self._look_up(first.dictionary.to_pylist(), True)[np.asarray(first.indices)]
         if odd.any():
@@ -162,3 +178,17 @@ class PieceEncoder:
             order = np.argsort(doc, kind="stable")
             at, doc = at[order], doc[order]
         return at, doc
+
+
+def worker_encoder(name: str) -> PieceEncoder:
+    """The encoder of this Python worker, with what it has seen in earlier tasks.
+
+    Functions of this package reach workers by value, so that its own module variables end with a task; those of the
+    tokenizer library last as long as the worker.
+    """
+    import tokenizers
+
+    held = tokenizers.__dict__.setdefault("_encoders_of_this_worker", {})
+    if name not in held:
+        held[name] = PieceEncoder(name)
+    return held[name]
