@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import decontamination, jaccard_join, licenses, packing, quality, secret_scan, substring_dedup, token_files
+from tickloom.llm import chat, decontamination, jaccard_join, licenses, packing, quality, secret_scan, substring_dedup, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +62,11 @@ def op6_secret_scan(spark, sf_dir):
 @query
 def op8_importance_resampling(spark, sf_dir):
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op3_chat_formatting(spark, sf_dir):
+    text = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
+    return chat.summarize(chat.format_log(chat.turns_as_events(turns)))
