@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tickloom.llm import chat, decontamination, jaccard_join, licenses, packing, quality, secret_scan, substring_dedup, token_files
+from tickloom.llm import chat, decontamination, jaccard_join, licenses, packing, quality, search, secret_scan, substring_dedup, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +71,8 @@ def op3_chat_formatting(spark, sf_dir):
     more = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
     return chat.summarize(chat.format_log(chat.turns_as_events(turns)))
+
+
+@query
+def op5_block_max_wand(spark, sf_dir):
+    return search.search(table(spark, sf_dir, "documents"), F.col("doc_id") % 50 == 0).drop("query_tag", "tag")
