@@ -50,7 +50,7 @@ def most_different(total: int, percent: int) -> int:
 def bands(largest: int, percent: int, ratio: float = BAND_RATIO) -> dict[str, np.ndarray]:
     """Size bands up to ``largest``: least size, largest partner, lanes and spare lanes."""
     low, partner, lanes, spare = [], [], [], []
-    at = 1
+    ratio, at = max(ratio, 100 / percent), 1  # so that partners lie in the same band or the next
     while at <= largest:
         after = max(at + 1, int(at * ratio))
         big = (after - 1) * 100 // percent
