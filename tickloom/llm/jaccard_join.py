@@ -13,8 +13,9 @@ Equal lanes make groups of candidates, in which no pairs are listed at first:
 1. sets that are equal count once, whatever the number of their documents;
 2. each set meets the least set of its groups; a 1024-bit parity sketch (Hamming distance against D) screens the pair,
    whole texts verify it, and verified links give components;
-3. only groups that still hold several components are looked into: what isn't in a group's largest component meets the
-   rest, screened and verified as before. Pairs inside a component need no look.
+3. only groups that still hold several components are looked into: what isn't in a group's main component (that of its
+   least label, which is the hub's as a rule) meets the rest, screened and verified as before. Pairs inside a component
+   need no look.
 
 Defined cases: texts without words (null ones too) have an empty set and link with nothing; a text with fewer words
 than a shingle is one shingle; a null doc_id is smaller than all others, as -2^63; rows that share a doc_id are handled
@@ -39,6 +40,8 @@ SHINGLE = 4
 PERCENT = 85
 BAND_RATIO = 1.35
 SKETCH_LONGS = 16
+#: Rounds in which each set's parent becomes its parent's parent: trees of depth 4 end as stars.
+JUMPS = 2
 _LANE = np.uint64(0xA24BAED4963EE407)
 
 
@@ -195,36 +198,36 @@ def screen(a: str, b: str, percent: int):
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that links reach, for every node of ``edges`` (a, b).
 
-    Alternating stars: each node's larger neighbours, then its smaller ones, move to its least neighbour, until
-    nothing moves.
+    Alternating stars: each node's larger neighbours, then its smaller ones, move to its least neighbour, until every
+    edge leads to the least node of its component.
     """
     edges = stage(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo < hi").distinct(), "edges")
-    state = None
-    while True:
+    while not _is_stars(edges):
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select("lo", "hi"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo < hi").distinct()
         large = stage(large, "large-star")
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi").select("m", "lo", "hi")
-        small = small.select(F.explode(F.array(F.struct("m", F.col("hi").alias("x")), F.struct("m", F.col("lo").alias("x")))).alias("e"))
-        edges = stage(small.select(F.col("e.m").alias("lo"), F.col("e.x").alias("hi")).where("lo < hi").distinct(), "small-star")
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("lo", "hi")), F.sum(F.xxhash64("hi", "lo") % 1_000_003)).first()
-        if now == state:
-            break
-        state = now
+        small = large.join(least, "hi").select("m", F.explode(F.array("hi", "lo")).alias("x"))
+        edges = stage(small.select(F.col("m").alias("lo"), F.col("x").alias("hi")).where("lo < hi").distinct(), "small-star")
     roots = edges.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(roots)
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: sets) whose texts link."""
-    place = classes.select("s", F.col("rep.id").alias("id"), F.col("rep.tag").alias("tag"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
-    texts = stage(place.join(wanted, "s").join(rows, ["id", "tag"]).select("s", "text").dropDuplicates(["s"]), "candidate-texts")
-    left = pairs.join(texts.select(F.col("s").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("s").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_emit_links(size, percent), "a long, b long").distinct()
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether each node is either only a smaller end, or a larger end of one edge."""
+    ends = edges.select(F.col("hi").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.union(edges.select("lo", F.lit(0), F.lit(1))).groupBy("u").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    return ends.where("up > 1 or (up = 1 and down > 0)").isEmpty()
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b: sets; rep_a, rep_b: a document of each) whose texts link."""
+    texts = rows.select(F.col("id"), F.col("tag"), "text")
+    left = pairs.select("a", "b", "rep_a", F.col("rep_b.id").alias("id"), F.col("rep_b.tag").alias("tag")).join(texts, ["id", "tag"])
+    left = left.select("a", "b", F.col("rep_a.id").alias("id"), F.col("rep_a.tag").alias("tag"), F.col("text").alias("text_b"))
+    both = left.join(texts, ["id", "tag"]).select("a", "b", F.col("text").alias("text_a"), "text_b")
+    return both.mapInArrow(_emit_links(size, percent), "a long, b long")
 
 
 def linked_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -235,42 +238,48 @@ def linked_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCE
     sets = stage(
         rows.mapInArrow(_emit_sets(size), "doc_id long, id long, tag int, n long, s long, sketch array<long>"), "shingle-sets"
     )
-    classes = stage(sets.where("n > 0").groupBy("s", "n").agg(F.min(F.struct("id", "tag")).alias("rep")), "set-classes")
-    known = sets.where("n > 0").select("s", "id", "tag", "n", "sketch")
-    known = classes.select("s", "rep.id", "rep.tag").join(known, ["s", "id", "tag"]).dropDuplicates(["s"]).select("s", "n", "sketch")
-    known = stage(known, "sketches")
+    known = sets.where("n > 0").groupBy("s").agg(F.min(F.struct("id", "tag", "n", "sketch")).alias("k"))
+    known = stage(known.select("s", F.struct("k.id", "k.tag").alias("rep"), "k.n", "k.sketch"), "set-classes")
     lanes = rows.mapInArrow(_emit_lanes(size, percent), "lane long, s long")
     groups = lanes.groupBy("lane").agg(F.min("s").alias("hub"), F.max("s").alias("other")).where("hub < other").drop("other")
     groups = stage(groups, "lane-groups")
     members = stage(lanes.join(groups, "lane").select("lane", "hub", "s"), "lane-members")
 
     def about(name: str) -> DataFrame:
-        return known.select(F.col("s").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}"))
+        return known.select(F.col("s").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("rep", "n", "sketch")])
 
+    # every set meets one hub: the links are a forest in which parents are smaller
     stars = members.where("s <> hub").select(F.col("hub").alias("a"), F.col("s").alias("b")).distinct()
-    stars = stars.join(about("a"), "a").join(about("b"), "b").where(screen("a", "b", percent))
-    stars = stage(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "star-pairs")
-    links = stage(_verified(stars, rows, classes, size, percent), "star-links")
-    found = components(links)
-
-    nodes = known.join(found.withColumnRenamed("node", "s"), "s", "left")
-    nodes = nodes.select("s", "n", "sketch", F.coalesce("component", "s").alias("component"))
-    of = members.select("lane", "s").distinct().join(nodes.select("s", "component"), "s")
-    mixed = of.groupBy("lane").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("lane")
-    mixed = stage(of.join(mixed, "lane"), "mixed-groups")
-    share = mixed.groupBy("lane", "component").agg(F.count("*").alias("many"))
-    main = share.groupBy("lane").agg(F.max_by("component", F.struct("many", "component")).alias("main"))
-    minor = mixed.join(main, "lane").where("component <> main").select("lane", "main", F.col("s").alias("a"), F.col("component").alias("ca"))
-    minor = minor.join(about("a"), "a")
-    others = mixed.select("lane", F.col("s").alias("b"), F.col("component").alias("cb")).join(about("b"), "b")
-    rest = minor.join(others, "lane").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & screen("a", "b", percent))
-    rest = stage(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest-pairs")
-    more = stage(_verified(rest, rows, classes, size, percent), "rest-links")
-    found = stage(components(links.union(more)), "components")
-
-    least = classes.join(found.withColumnRenamed("node", "s"), "s", "left").select("s", F.coalesce("component", "s").alias("c"), F.col("rep.id").alias("id"))
+    stars = stars.join(about("b"), "b").join(about("a"), "a").where(screen("a", "b", percent))
+    stars = stage(stars.groupBy("b").agg(F.min(F.struct("a", "rep_a", "rep_b")).alias("p")).select("b", "p.a", "p.rep_a", "p.rep_b"), "star-pairs")
+    links = stage(_verified(stars, rows, size, percent).distinct(), "star-links")
+    tops = links
+    for _ in range(JUMPS):  # deeper trees stay in parts, which only costs more looks below
+        up = tops.select(F.col("b").alias("a"), F.col("a").alias("above"))
+        tops = stage(tops.join(up, "a", "left").select(F.coalesce("above", "a").alias("a"), "b"), "tree-tops")
+
+    of = members.join(tops.select(F.col("b").alias("s"), F.col("a").alias("top")), "s", "left")
+    of = of.select("lane", "s", F.coalesce("top", "s").alias("c"))
+    mixed = of.groupBy("lane").agg(F.min("c").alias("main"), F.max("c").alias("last")).where("main < last").drop("last")
+    mixed = stage(of.join(mixed, "lane").distinct(), "mixed-groups")
+    held = stage(mixed.groupBy("s").agg(F.sort_array(F.collect_set("lane")).alias("lanes")).join(known, "s"), "mixed-sets")
+
+    def side(name: str) -> DataFrame:
+        own = held.select(F.col("s").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("rep", "n", "sketch", "lanes")])
+        return mixed.select("lane", "main", F.col("s").alias(name), F.col("c").alias(f"c_{name}")).join(own, name)
+
+    across = (F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("main")) | (F.col("a") < F.col("b")))
+    # two sets may share many lanes: only their least common one makes the pair
+    once = F.col("lane") == F.array_min(F.array_intersect("lanes_a", "lanes_b"))
+    rest = side("a").where("c_a <> main").join(side("b").drop("main"), "lane").where(across & screen("a", "b", percent) & once)
+    rest = stage(rest.select("a", "b", "rep_a", "rep_b"), "rest-pairs")
+    found = links if rest.isEmpty() else links.union(stage(_verified(rest, rows, size, percent), "rest-links"))
+    found = stage(components(found), "components")
+
+    least = known.join(found.withColumnRenamed("node", "s"), "s", "left").select("s", F.coalesce("component", "s").alias("c"), F.col("rep.id").alias("id"))
+    least = stage(least, "class-components")
     smallest = least.groupBy("c").agg(F.min("id").alias("component_id"))
-    of_set = stage(least.select("s", "c").distinct().join(smallest, "c").select("s", "component_id"), "set-components")
+    of_set = least.select("s", "c").join(smallest, "c").select("s", "component_id")
     out = sets.select("doc_id", "id", "tag", "n", "s").join(of_set, "s", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select("doc_id", "tag", F.col("n").alias("n_shingles"), component.alias("component_id"))
