@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.cleaning import SPREAD_CAPS, PRICE_RANGES, day_rules, outlier_filter, range_rules, replace_outliers
 from tickloom.operators.descriptive import describe
+from tickloom.functions.timeexpr import bucket_ms
 from tickloom.operators.grid import fill_with_symbol_mean, on_grid, symbol_grid, zero_fill
 from tickloom.operators.sampling import stride_sample
+from tickloom.sources.generators import time_grid
 
 UTC = dt.timezone.utc
 
@@ -25,6 +27,16 @@ def test_outlier_filter_has_no_window_over_the_group(spark):
     assert "Window" not in plan
 
 
+def test_bounded_groups_take_one_scan_and_one_exchange(spark):
+    rows = [("a", i % 7, 10.0 + i % 3 + (90.0 if i == 33 else 0.0)) for i in range(200)]
+    df = spark.createDataFrame(rows, "symbol string, bucket long, v double")
+    plain = outlier_filter(df, ["symbol", "bucket"], "v").collect()
+    bounded = outlier_filter(df, ["symbol", "bucket"], "v", bounded=True)
+    assert sorted(map(tuple, bounded.collect())) == sorted(map(tuple, plain))
+    grouped = bounded.groupBy("bucket", "symbol").count()._jdf.queryExecution().executedPlan().toString()
+    assert grouped.count("Exchange hashpartitioning") == 1 and "Join" not in grouped
+
+
 def test_rules(spark):
     stamp = lambda d: dt.datetime(2019, 4, d, 12, tzinfo=UTC)
     rows = [
@@ -63,12 +75,31 @@ def test_describe(spark):
     assert (got["k"]["stddev"], got["k"]["skewness"]) == (0.0, None)
 
 
-@pytest.mark.parametrize("step", [3_600_000, 25_000_000, 7_000_000, 200_000_000])
-def test_grid_is_the_plain_range(spark, step):
-    first, end = 86_400_000 * 3 + 5, 86_400_000 * 6
+@pytest.mark.parametrize("step", [3_600_000, 25_000_000, 7_000_000, 86_400_000])
+@pytest.mark.parametrize("first", [3 * 86_400_000, 3 * 86_400_000 + 5])
+def test_grid_restarts_at_midnight(spark, step, first):
+    day, end = 86_400_000, 86_400_000 * 6 - 1000
     symbols = spark.createDataFrame([("a",), ("b",)], "symbol string")
     got = symbol_grid(symbols, first, end, step).collect()
-    assert sorted(tuple(r) for r in got) == [(s, t) for s in "ab" for t in range(first, end, step)]
+    want = [t for d in range(3, 6) for t in range(d * day, (d + 1) * day, step) if first <= t < end]
+    assert sorted(tuple(r) for r in got) == [(s, t) for s in "ab" for t in want]
+
+
+def test_steps_of_more_than_a_day_are_refused(spark):
+    with pytest.raises(ValueError):
+        symbol_grid(spark.createDataFrame([("a",)], "symbol string"), 0, 10**9, 86_400_001)
+
+
+@pytest.mark.parametrize("seconds", [420, 660, 1000])
+def test_every_bucket_finds_its_place_on_the_grid(spark, seconds):
+    """Also where the length doesn't divide a day."""
+    week = spark.range(0, 7 * 86_400_000, 59_000).select(bucket_ms(F.col("id"), seconds).alias("t")).distinct()
+    series = week.select(F.lit("a").alias("symbol"), "t", F.lit(1.0).alias("r"))
+    grid = on_grid(series, "t", 0, 7 * 86_400_000, seconds * 1000)
+    assert grid.where("r is not null").count() == series.count() == grid.count()
+    starts = {r.start for r in time_grid(spark, "1970-01-01", "1970-01-08", 7).collect()}
+    if seconds == 420:
+        assert starts == {r.t for r in series.collect()}
 
 
 def test_fill(spark):

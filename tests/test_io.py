@@ -44,10 +44,15 @@ def test_trade_scan_by_glob(spark, provider):
     assert both.where("sell is null or price is null").count() == 0
 
 
-def test_unreadable_files_are_skipped(spark, provider):
+def test_unreadable_files_fail_or_are_reported(spark, provider):
     bad = provider / "x" / "BTCUSD" / "2024_01" / "x_BTCUSD_trades_2024_01_02.csv.gz"
     bad.write_bytes(b"\x1f\x8b\x08\x00broken")
-    assert readers.read_trades(spark, readers.trades_glob(str(provider), "BTCUSD")).count() == 1200
+    glob = readers.trades_glob(str(provider), "BTCUSD")
+    with pytest.raises(Exception):
+        readers.read_trades(spark, glob).count()
+    assert readers.read_trades(spark, glob, tolerate_corrupt=True).count() == 1200
+    skipped = readers.skipped_files(spark, glob, schemas.TRADES).collect()
+    assert [r.path.rpartition("/")[2] for r in skipped] == [bad.name]
 
 
 def test_series_round_trip_and_global_order(spark, tmp_path):

@@ -80,3 +80,9 @@ def test_sign_of_the_leader_is_optional(spark, rows):
     pick = lambda df: df.where("leader = 'ethbtc' and follower = 'btcusd' and lag = 3").first().beta
     flipped, plain = pick(leadlag.lead_lag(series, [1800])), pick(leadlag.lead_lag(series, [1800], flip_leader=False))
     assert flipped == pytest.approx(-plain)
+
+
+def test_intervals_must_divide_a_day(spark, rows):
+    series = spark.createDataFrame(rows, "start_ts_ob long, symbol string, logreturn double")
+    with pytest.raises(ValueError):
+        leadlag.lead_lag(series, [660])

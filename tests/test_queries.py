@@ -36,11 +36,11 @@ def con():
     return connect(SF_DIR)
 
 
-def test_every_query_has_a_counterpart():
-    assert set(queries()) == set(oracle_sql())
+def test_every_market_query_has_a_counterpart():
+    assert set(registry.QUERIES) <= set(oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, con, name):
     equal, _, note = compare(spark, con, queries()[name], oracle_sql()[name], SF_DIR)
     assert equal, note

@@ -8,3 +8,10 @@ Layers, from the bottom up:
 * ``plans``      whole jobs composed of operators
 * ``jobs``       the command line around the plans
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to Python workers by value, so executors need no copy of it on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -52,12 +52,12 @@ def as_bps(spread: str, midpoint: str = "midpoint_ob") -> Column:
 
 
 def in_usd(column: str, rate: str) -> Column:
-    """Conversion that takes a missing rate as 1 (it is missing only for dollar-pegged currencies)."""
+    """Dollar value of an amount; without a rate the currency counts as one dollar a unit."""
     return F.col(column) * F.coalesce(F.col(rate), F.lit(1.0))
 
 
 def share_of(value: Column, total: Column) -> Column:
-    """``value / total``; where the total is 0 or unknown the value itself, which is then 0 too."""
+    """Part of a total. Over a total of 0, or none, the value stands as it is."""
     return F.when(total.isNotNull() & (total != 0), value.cast("double") / total.cast("double")).otherwise(
         value.cast("double")
     )

@@ -32,6 +32,15 @@ def bucket_ms(ms: Column, seconds: int) -> Column:
     return ms - F.pmod(F.pmod(ms, F.lit(DAY_MS)), F.lit(_check_length(seconds) * 1000))
 
 
+def raster_starts(day: Column, first_ms: int, end_ms: int, step_ms: int) -> Column:
+    """All bucket starts of the day that begins at ``day`` (epoch ms), as far as they lie in ``[first_ms, end_ms)``."""
+    if not 1 <= step_ms <= DAY_MS:
+        raise ValueError(f"bucket length must be 1..{DAY_MS} ms, got {step_ms}")
+    low = day + F.ceil(F.greatest(F.lit(first_ms) - day, F.lit(0)) / step_ms) * step_ms
+    high = F.least(day + DAY_MS, F.lit(end_ms)) - 1
+    return F.when(low <= high, F.sequence(low, high, F.lit(step_ms).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+
+
 def bucket_s_to_ms(second: Column, seconds: int) -> Column:
     return bucket_s(second, seconds) * 1000
 

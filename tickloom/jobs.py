@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from tickloom.operators import correlation, leadlag
 from tickloom.operators.rates import PairRates, check_pairs
 from tickloom.operators.triangle import Triangle
+from tickloom.functions.timeexpr import day_arg_to_ms
+from tickloom.operators.grid import in_period
 from tickloom.plans import intraday, monthly, order_book, reports, trades, triangulation, zero_fill
-from tickloom.session import build_session, drop_staged, stage
+from tickloom.session import build_session, stage, staging_run
 from tickloom.sources import generators, readers, schemas, writers
 
 JOBS = {}
@@ -125,7 +127,8 @@ def monthly_measures_usd_pair(c: Context) -> None:
 @job("zero-filled-stats", BARS, *PERIOD, MINUTES)
 def zero_filled_stats(c: Context) -> None:
     a, step = c.args, f"{c.args.minutes}m"
-    series = stage(zero_fill.return_series(c.bars(), a.minutes * 60), "series")
+    series = zero_fill.return_series(c.bars(), a.minutes * 60)
+    series = stage(in_period(series, "start_ts", day_arg_to_ms(a.first), day_arg_to_ms(a.last)), "series")
     filled = stage(zero_fill.zero_filled_series(series, a.first, a.last, a.minutes * 60), "filled")
     writers.write_parts(zero_fill.zero_filled_statistics(series, filled), c.path("statistics", step))
     writers.write_report(
@@ -144,8 +147,8 @@ def intraday_breakdown(c: Context) -> None:
 
 
 @job(
-    "order-book-series", BARS, arg("--book", required=True, nargs="+", help="snapshot files or globs of one symbol"),
-    arg("--symbol", required=True), arg("--thin-book", default="extend"),
+    "order-book-series", BARS, arg("--book", required=True, nargs="+", help="snapshot files or globs"),
+    arg("--symbol", help="of all snapshots; by default taken from each file's path"), arg("--thin-book", default="extend"),
 )
 def order_book_series(c: Context) -> None:
     book = readers.read_order_book(c.spark, c.args.book, c.args.symbol, c.args.format)
@@ -205,6 +208,7 @@ def lead_lag(c: Context) -> None:
 @job("triangulation", BARS, arg("--triangle", required=True, action="append", nargs=3, metavar=("CS", "CU", "SU")))
 def triangulate(c: Context) -> None:
     series = stage(triangulation.triangulation(c.bars(), [Triangle(*t) for t in c.args.triangle]), "triangles")
+    writers.write_parts(series, c.path("triangulation_series"), gzip=True)
     writers.write_report(
         triangulation.triangulation_monthly(series), c.path("triangulation_arbitrage"), "symbol", "year_month"
     )
@@ -223,8 +227,9 @@ def monthly_tables(c: Context) -> None:
         writers.write_report(table, c.path("combined_monthly"), "symbol", "year_month")
     else:
         tables.pop("annualized_monthly_volatility_logreturns")
+    months = a.months or reports.month_range(table)
     for column, factor in tables.items():
-        pivot = reports.monthly_pivot(table, column, a.months, factor)
+        pivot = reports.monthly_pivot(table, column, months, factor)
         writers.write_report(pivot, c.path(f"table_{column}"), "symbol")
     writers.write_report(reports.arbitrage_summary(table), c.path("arbitrage_summary"), "symbol")
 
@@ -232,13 +237,16 @@ def monthly_tables(c: Context) -> None:
 @job("triangle-tables", arg("--measures", required=True, nargs="+"), arg("--months", nargs="+", metavar="YYYY-MM"))
 def triangle_tables(c: Context) -> None:
     table = c.table(c.args.measures, schemas.TRIANGLE_MONTHLY)
+    months = c.args.months or reports.month_range(table)
     for column, factor in reports.TRIANGLE_TABLES.items():
-        pivot = reports.monthly_pivot(table, column, c.args.months, factor)
+        pivot = reports.monthly_pivot(table, column, months, factor)
         writers.write_report(pivot, c.path(f"triangle_table_{column}"), "symbol")
     for side in ("sell", "buy"):
         writers.write_report(reports.arbitrage_summary(table, side), c.path(f"triangle_{side}_summary"), "symbol")
 
 
+#: Columns a matrix report can sensibly have.
+MATRIX_SYMBOLS = 500
 CORRELATION_FILES = (
     arg("--file5", required=True, nargs="+", help="correlations at the finer interval"),
     arg("--file60", required=True, nargs="+", help="correlations at the coarser interval"),
@@ -246,13 +254,15 @@ CORRELATION_FILES = (
 )
 
 
-@job("correlation-tables", *CORRELATION_FILES, arg("--threshold", type=float))
+@job("correlation-tables", *CORRELATION_FILES, arg("--threshold", type=float), arg("--symbols", nargs="+", help="rows and columns; by default those of up to 500 instruments in the files"))
 def correlation_tables(c: Context) -> None:
     """Cross-pair matrices: the finer interval above the diagonal, the coarser below."""
     a = c.args
     fine, coarse = (c.table(p, schemas.CROSS_CORRELATIONS) for p in (a.file5, a.file60))
     names = fine.select(F.explode(F.array("first", "second")).alias("symbol")).distinct()
-    symbols = sorted(row.symbol for row in names.collect())  # one short string per instrument
+    symbols = a.symbols or sorted(row.symbol for row in names.limit(MATRIX_SYMBOLS + 1).collect())
+    if len(symbols) > MATRIX_SYMBOLS:
+        raise ValueError(f"more than {MATRIX_SYMBOLS} instruments: choose the table's columns by --symbols")
     matrix = reports.correlation_matrix(fine, coarse, symbols, ["measure"], a.threshold, a.significance_threshold)
     for value in ("correlation", "significance"):
         table = reports.matrix_table(matrix, ["measure"], symbols, value)
@@ -292,7 +302,8 @@ def breakdown_points(c: Context) -> None:
 )
 def plot_series(c: Context) -> None:
     points = reports.plot_series(c.bars(), c.args.column, c.args.aggregation, c.args.samples)
-    writers.write_report(points, c.path(f"plot_{c.args.column}"), "symbol", "x")
+    write = writers.write_report if c.args.samples else writers.write_sorted
+    write(points, c.path(f"plot_{c.args.column}"), "symbol", "x")
 
 
 @job("statistics-tables", arg("--statistics", required=True, nargs="+"))
@@ -319,9 +330,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     args = parser().parse_args(argv)
     session = spark or build_session(f"tickloom {args.job}", args.master)
     try:
-        JOBS[args.job][0](Context(session, args, args.job))
+        with staging_run(session):
+            JOBS[args.job][0](Context(session, args, args.job))
     finally:
-        drop_staged(session)
         if spark is None:
             session.stop()
 

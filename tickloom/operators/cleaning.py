@@ -5,10 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.timeexpr import day_of_ts
+from tickloom.operators.grid import small_side
 
 
 class DayRule(NamedTuple):
@@ -61,15 +62,24 @@ def range_rules(rules: list[RangeRule]) -> Column:
     return reduce(lambda a, b: a & b, [inside(r) for r in rules], F.lit(True))
 
 
-def outlier_filter(df: DataFrame, keys: list[str], value: str, width: float = 3.0) -> DataFrame:
+def outlier_filter(df: DataFrame, keys: list[str], value: str, width: float = 3.0, bounded: bool = False) -> DataFrame:
     """Keep rows within ``width`` sample standard deviations of their group's mean (closed interval).
 
     A group of one row has no deviation and drops out. The bounds are a map-side-combined aggregate
     joined back, so a hot group never has to fit one task: the planner broadcasts the bounds when
     their size allows, and otherwise skew handling may split the group. ``df`` is read twice; pass
     a table or a staged frame.
+
+    ``bounded`` says that a group holds a bounded number of rows, as the keys include a time bucket (at most its length
+    over that of a bar). Then one window finds the bounds: one scan, and one exchange that a following aggregate by the
+    same keys shares.
     """
     mean, deviation = F.avg(value), width * F.stddev_samp(value)
+    if bounded:
+        group = Window.partitionBy(*keys)
+        marked = df.withColumn("_mean", F.avg(value).over(group)).withColumn("_reach", width * F.stddev_samp(value).over(group))
+        inside = (F.col("_mean") - F.col("_reach") <= F.col(value)) & (F.col(value) <= F.col("_mean") + F.col("_reach"))
+        return marked.where(inside).drop("_mean", "_reach")
     bounds = df.groupBy(*keys).agg((mean - deviation).alias("_lower"), (mean + deviation).alias("_upper"))
     return (
         df.join(bounds, keys)
@@ -88,4 +98,4 @@ def replace_outliers(df: DataFrame, key: str, value: str, symbols: list[str] | N
     if symbols is not None:
         inside = inside | ~F.col(key).isin(*symbols)
     replaced = F.when(inside | F.col(value).isNull(), F.col(value)).otherwise(F.col("_mean"))
-    return df.join(stats, key).withColumn(value, replaced).drop("_mean", "_dev")
+    return df.join(small_side(stats), key).withColumn(value, replaced).drop("_mean", "_dev")

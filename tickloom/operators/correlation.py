@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.significance import correlation_t, p_value
 from tickloom.functions.timeexpr import bucket_ms
 
+# The measures, in the order that makes the (first, second) labels of the results.
 SUMMED = ["logreturn", "total_volume", "volatility", "total_order_flow", "total_number_of_trades"]
 AVERAGED = ["bid_ask_spread", "avg_arbitrage_spread", "effective_spread_ob"]
 INTRA_MEASURES = [
@@ -48,6 +49,25 @@ def pearson(points: DataFrame, keys: list[str]) -> DataFrame:
             F.var_pop(y).alias("_vy"),
         )
     )
+    return _correlated(moments, keys)
+
+
+def measure_pairs(rows: DataFrame, measures: list[str]) -> DataFrame:
+    """``pearson`` of every two measures per symbol, all moments side by side in one aggregate."""
+    sets = []
+    for first, second in combinations(measures, 2):
+        a, b = F.col(first).cast("double"), F.col(second).cast("double")
+        both = a.isNotNull() & b.isNotNull()
+        x, y = F.when(both, a), F.when(both, b)
+        sets.append(F.struct(
+            F.lit(first).alias("first"), F.lit(second).alias("second"), F.count(x).alias("n"),
+            F.covar_pop(x, y).alias("_cov"), F.var_pop(x).alias("_vx"), F.var_pop(y).alias("_vy"),
+        ))
+    moments = rows.groupBy("symbol").agg(F.array(*sets).alias("sets")).select("symbol", F.inline("sets"))
+    return _correlated(moments.where("n > 0"), ["symbol", "first", "second"])
+
+
+def _correlated(moments: DataFrame, keys: list[str]) -> DataFrame:
     r = F.try_divide("_cov", F.sqrt(F.col("_vx") * F.col("_vy")))
     bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
     return (
@@ -65,19 +85,12 @@ def with_significance(correlations: DataFrame) -> DataFrame:
     )
 
 
-def _point(first: str, second: str, x: Column, y: Column, tag: str = "") -> Column:
-    fields = [F.lit(first).alias("first"), F.lit(second).alias("second")] if not tag else [F.lit(tag).alias("measure")]
-    return F.struct(*fields, x.cast("double").alias("x"), y.cast("double").alias("y"))
-
-
 def intra_pair(series: DataFrame, seconds: int, measures: list[str] = INTRA_MEASURES) -> DataFrame:
     """Correlation of every two measures within each symbol.
 
-    A bucket's measure pairs go straight into the map side of the grouped moments.
+    The moments of all pairs of measures are one map-side-combined row per symbol.
     """
-    bins = bucketed(series, seconds, measures)
-    points = F.inline(F.array(*[_point(a, b, F.col(a), F.col(b)) for a, b in combinations(measures, 2)]))
-    return pearson(bins.select("symbol", points), ["symbol", "first", "second"])
+    return measure_pairs(bucketed(series, seconds, measures), measures)
 
 
 def cross_pair(series: DataFrame, seconds: int, measures: list[str] = CROSS_MEASURES) -> DataFrame:
@@ -90,15 +103,15 @@ def cross_pair(series: DataFrame, seconds: int, measures: list[str] = CROSS_MEAS
     left = bins.select("ts_interval", F.col("symbol").alias("first"), *[F.col(m).alias(f"x_{m}") for m in measures])
     right = bins.select("ts_interval", F.col("symbol").alias("second"), *[F.col(m).alias(f"y_{m}") for m in measures])
     matched = left.join(right, "ts_interval").where(F.col("first") < F.col("second"))
-    points = F.inline(F.array(*[_point("", "", F.col(f"x_{m}"), F.col(f"y_{m}"), m) for m in measures]))
+    point = lambda m: F.struct(F.lit(m).alias("measure"), F.col(f"x_{m}").cast("double").alias("x"), F.col(f"y_{m}").cast("double").alias("y"))
+    points = F.inline(F.array(*[point(m) for m in measures]))
     return pearson(matched.select("first", "second", points), ["measure", "first", "second"])
 
 
 def measure_matrix(clean_series: DataFrame, measures: list[str] = MATRIX_MEASURES) -> DataFrame:
     """Correlations of the unbucketed series over the rows on which all measures are known."""
     source = clean_series.withColumn("volatility", F.col("logreturn") * F.col("logreturn")).select("symbol", *measures)
-    points = F.inline(F.array(*[_point(a, b, F.col(a), F.col(b)) for a, b in combinations(measures, 2)]))
     complete = source.dropna(subset=measures)
-    return pearson(complete.select("symbol", points), ["symbol", "first", "second"]).select(
+    return measure_pairs(complete, measures).select(
         "symbol", "first", "second", "correlation"
     )

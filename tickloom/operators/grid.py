@@ -5,31 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.timeexpr import DAY_MS
-
-ROWS_PER_TASK = 100_000
+from tickloom.functions.timeexpr import DAY_MS, raster_starts
 
 
 def symbol_grid(symbols: DataFrame, first_ms: int, end_ms: int, step_ms: int) -> DataFrame:
-    """(symbol, start) for every bucket start in ``[first_ms, end_ms)``.
+    """(symbol, start) for every bucket start in ``[first_ms, end_ms)``, on the raster of the bucket functions.
 
-    Each symbol row unrolls to chunks of about a day and each chunk to its buckets, so there is no
-    cross join and no task holds a symbol's whole grid.
+    Each symbol row unrolls to days and each day, in a task of its own, to its buckets.
     """
-    chunk_ms = step_ms * max(1, DAY_MS // step_ms)
-    chunks = symbols.select("symbol").select(
-        "symbol", F.explode(F.sequence(F.lit(first_ms), F.lit(end_ms - 1), F.lit(chunk_ms))).alias("_chunk")
+    first_day = first_ms - first_ms % DAY_MS
+    days = symbols.select("symbol").select(
+        "symbol", F.explode(F.sequence(F.lit(first_day), F.lit(max(end_ms - 1, first_day)), F.lit(DAY_MS))).alias("_day")
+    )
+    return days.repartition("symbol", "_day").select(
+        "symbol", F.explode(raster_starts(F.col("_day"), first_ms, end_ms, step_ms)).alias("start")
     )
-    wanted = (end_ms - first_ms) // step_ms // ROWS_PER_TASK
-    if wanted > 1:
-        limit = int(df_conf(symbols, "spark.sql.shuffle.partitions"))
-        chunks = chunks.repartition(min(wanted, limit), "symbol", "_chunk")
-    last = F.least(F.col("_chunk") + chunk_ms, F.lit(end_ms)) - 1
-    return chunks.select("symbol", F.explode(F.sequence(F.col("_chunk"), last, F.lit(step_ms))).alias("start"))
 
 
-def df_conf(df: DataFrame, key: str) -> str:
-    return df.sparkSession.conf.get(key)
+def in_period(series: DataFrame, time: str, first_ms: int, end_ms: int) -> DataFrame:
+    """Rows in ``[first_ms, end_ms)``. Apply it once, before a series is both gridded and summed up."""
+    return series.where((F.col(time) >= first_ms) & (F.col(time) < end_ms))
 
 
 def on_grid(series: DataFrame, time: str, first_ms: int, end_ms: int, step_ms: int) -> DataFrame:
@@ -47,4 +42,14 @@ def fill_with_symbol_mean(df: DataFrame, column: str, series: DataFrame) -> Data
     """Missing values become the mean the symbol has in ``series``."""
     means = series.groupBy("symbol").agg(F.avg(column).alias("_mean"))
     known = F.nanvl(column, F.lit(None).cast("double"))
-    return df.join(means, "symbol", "left").withColumn(column, F.coalesce(known, F.col("_mean"))).drop("_mean")
+    joined = df.join(small_side(means), "symbol", "left")
+    return joined.withColumn(column, F.coalesce(known, F.col("_mean"))).drop("_mean")
+
+
+#: One short row per symbol: some 100 MB.
+BROADCAST_SYMBOLS = 1_000_000
+
+
+def small_side(per_symbol: DataFrame) -> DataFrame:
+    """A table of one row per symbol, broadcast where its counted size allows, so that no symbol fills one task."""
+    return F.broadcast(per_symbol) if per_symbol.limit(BROADCAST_SYMBOLS + 1).count() <= BROADCAST_SYMBOLS else per_symbol

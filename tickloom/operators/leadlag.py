@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.measures import ieee_ratio
 from tickloom.functions.significance import p_value
-from tickloom.functions.timeexpr import DAY_MS, bucket_ms
+from tickloom.functions.timeexpr import DAY_MS, DAY_S, bucket_ms
 
 LAGS = list(range(11))
 FOLLOWER_SHIFT = 5
@@ -122,7 +122,12 @@ def regress(rows: DataFrame) -> DataFrame:
 
 
 def lead_lag(series: DataFrame, intervals: list[int], flip_leader: bool = True) -> DataFrame:
-    """Coefficients and t statistics for each ordered symbol pair, interval (seconds) and lag."""
+    """Coefficients and t statistics for each ordered symbol pair, interval (seconds) and lag.
+
+    Lags count even steps across midnights, so an interval must divide a day.
+    """
+    if odd := [s for s in intervals if DAY_S % s]:
+        raise ValueError(f"intervals must divide {DAY_S} seconds, got {odd}")
     return regress(lagged_rows(standardized_bins(joined_returns(series, flip_leader), intervals)))
 
 

@@ -79,7 +79,7 @@ def clean_book_series(
     capped = series.where(range_rules(SPREAD_CAPS)).withColumn(
         "outlier_group_ts", bucket_ms(F.col("start_ts_ob"), outlier_seconds)
     )
-    kept = outlier_filter(capped, ["symbol", "outlier_group_ts"], "bid_ask_spread").drop("outlier_group_ts")
+    kept = outlier_filter(capped, ["symbol", "outlier_group_ts"], "bid_ask_spread", bounded=True).drop("outlier_group_ts")
     dated = kept.withColumn("bid_ask_spread_bps", sp.as_bps("bid_ask_spread")).withColumn(
         "day", day_of_ms(F.col("start_ts_ob"))
     )

@@ -54,6 +54,19 @@ def monthly_pivot(monthly: DataFrame, column: str, months: list[str] | None = No
     )
 
 
+def month_range(monthly: DataFrame, month: str = "year_month") -> list[str]:
+    """All months from the table's first to its last, from those two values alone."""
+    first, last = monthly.agg(F.min(month), F.max(month)).first()
+    if first is None:
+        return []
+    at, out = first, []
+    while at <= last:
+        out.append(at)
+        year, number = divmod(int(at[:4]) * 12 + int(at[5:7]), 12)
+        at = f"{year:04d}-{number + 1:02d}"
+    return out
+
+
 def arbitrage_summary(monthly: DataFrame, side: str = "") -> DataFrame:
     """Totals over the months, spread weighted by the number of opportunities, and profit net of fees.
 

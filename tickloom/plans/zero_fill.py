@@ -12,7 +12,7 @@ from tickloom.functions import spreads as sp
 from tickloom.functions.timeexpr import bucket_s_to_ms, day_arg_to_ms, day_of_ms, month_of_ms
 from tickloom.operators.cleaning import PRICE_RANGES, day_rules, outlier_filter, range_rules
 from tickloom.operators.descriptive import describe
-from tickloom.operators.grid import fill_with_symbol_mean, on_grid, zero_fill
+from tickloom.operators.grid import fill_with_symbol_mean, in_period, on_grid, zero_fill
 
 FILLED = ["return", "logreturn", "total_number_of_trades"]
 
@@ -22,7 +22,7 @@ def cleaned_bars(bars: DataFrame, seconds: int) -> DataFrame:
     second = F.unix_seconds("start_second")
     known = bars.where(sp.price_is_known() & day_rules() & range_rules(PRICE_RANGES))
     bucketed = known.withColumn("second", second).withColumn("start_ts", bucket_s_to_ms(second, seconds))
-    return outlier_filter(bucketed, ["symbol", "start_ts"], "avg_price")
+    return outlier_filter(bucketed, ["symbol", "start_ts"], "avg_price", bounded=True)
 
 
 def return_series(bars: DataFrame, seconds: int) -> DataFrame:
@@ -45,7 +45,11 @@ def return_series(bars: DataFrame, seconds: int) -> DataFrame:
 
 
 def zero_filled_series(series: DataFrame, first_day: str, end_day: str, seconds: int) -> DataFrame:
-    """``series`` (read twice) on the full grid: no trades means no return; the price is the symbol's mean."""
+    """``series`` (read twice) on the full grid: no trades means no return; the price is the symbol's mean.
+
+    Rows outside the period count nowhere; take ``in_period`` of the series before describing it beside this.
+    """
+    series = in_period(series, "start_ts", day_arg_to_ms(first_day), day_arg_to_ms(end_day))
     grid = on_grid(series, "start_ts", day_arg_to_ms(first_day), day_arg_to_ms(end_day), seconds * 1000)
     return fill_with_symbol_mean(zero_fill(grid, FILLED), "avg_price", series)
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,7 +19,6 @@ SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a hot join key even where that costs one more exchange afterwards
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.files.ignoreCorruptFiles": "true",
 }
 
 
@@ -42,7 +46,9 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="tickloom-"))
+    own = tempfile.mkdtemp(prefix="tickloom-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    sc.setCheckpointDir(own)
     return sc.getCheckpointDir().rstrip("/")
 
 
@@ -54,7 +60,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     compares with the broadcast threshold.
     """
     spark = df.sparkSession
-    path = f"{_staging_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_staging_dir(spark)}/{_RUN.get()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -63,7 +69,20 @@ def _staging_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tickloom-{spark.sparkContext.applicationId}"
 
 
-def drop_staged(spark: SparkSession) -> None:
-    """Delete this application's staged tables, once its results are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_staging_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+#: Folder of the tables that the current run stages.
+_RUN: ContextVar[str] = ContextVar("staging run", default="shared")
+
+
+@contextlib.contextmanager
+def staging_run(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside the block go to a folder of their own, which is deleted when the block ends.
+
+    Tables that other frames of the session still read are left alone.
+    """
+    token = _RUN.set(f"run-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{_staging_dir(spark)}/{_RUN.get()}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _RUN.reset(token)

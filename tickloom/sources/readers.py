@@ -8,27 +8,46 @@ from pyspark.sql import types as T
 
 from tickloom.sources import schemas
 
+#: pair / month / provider_pair_ob_10_rest
+ORDER_BOOK_FILE = r"/([^/]+)/[^/]+/[^/]*_\1_ob_10_[^/]*$"
 INSTANT_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[.SSS]XXX"
 
 
 def read_table(
-    spark: SparkSession, path: str | list[str], schema: T.StructType, fmt: str = "csv", tolerate_corrupt: bool = True
+    spark: SparkSession, path: str | list[str], schema: T.StructType, fmt: str = "csv", tolerate_corrupt: bool = False
 ) -> DataFrame:
-    """Scan with a fixed schema; unreadable files are skipped unless ``tolerate_corrupt`` is off."""
+    """Scan with a fixed schema. An unreadable file is an error.
+
+    With ``tolerate_corrupt``, meant for raw provider files, the readable rows of such files are taken and the rest is
+    passed over; ``skipped_files`` tells which files gave nothing.
+    """
     reader = spark.read.schema(schema).option("ignoreCorruptFiles", str(tolerate_corrupt).lower())
     if fmt == "csv":
         reader = reader.option("header", True).option("timestampFormat", INSTANT_FORMAT)
     return reader.format(fmt).load(path)
 
 
-def read_trades(spark, path, fmt="csv"):
-    return read_table(spark, path, schemas.TRADES, fmt)
+def skipped_files(spark: SparkSession, path: str | list[str], schema: T.StructType, fmt: str = "csv") -> DataFrame:
+    """Files behind ``path`` of which a tolerant scan takes no row."""
+    name = F.regexp_replace("path", "^file:/+", "/").alias("path")
+    listed = spark.read.format("binaryFile").load(path).select(name)
+    read = read_table(spark, path, schema, fmt, True).select(F.col("_metadata.file_path").alias("path")).distinct().select(name)
+    return listed.join(read, "path", "left_anti")
+
 
+def read_trades(spark, path, fmt="csv", tolerate_corrupt=False):
+    return read_table(spark, path, schemas.TRADES, fmt, tolerate_corrupt)
 
-def read_order_book(spark, path, symbol: str | None = None, fmt="csv"):
-    """Snapshots in long form. The files carry no instrument, so one scan is tagged with its symbol."""
-    book = read_table(spark, path, schemas.ORDER_BOOK, fmt)
-    return book.withColumn("symbol", F.lit(symbol)) if symbol else book
+
+def read_order_book(spark, path, symbol: str | None = None, fmt="csv", tolerate_corrupt=False):
+    """Snapshots in long form. The rows carry no instrument: it is ``symbol``, or else taken from each file's path.
+
+    In the provider layout (``order_book_glob``) the instrument is the folder above the month, and part of the name.
+    """
+    book = read_table(spark, path, schemas.ORDER_BOOK, fmt, tolerate_corrupt)
+    if symbol:
+        return book.withColumn("symbol", F.lit(symbol))
+    return book.withColumn("symbol", F.regexp_extract(F.col("_metadata.file_path"), ORDER_BOOK_FILE, 1))
 
 
 def read_arbitrage(spark, path, fmt="csv"):

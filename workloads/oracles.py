@@ -794,7 +794,7 @@ select year_month, symbol, {rs('avg_price', 'arbitrage_profit_in_usd', 'monthly_
   'annualized_monthly_volatility_logreturns')} from measures left join monthly_vol using (year_month, symbol)"""
     pivot = ", ".join(
         r(f"1e-6 * max(total_volume_in_usd) filter (where year_month = '{mo}')", f"m_{mo[:4]}_{mo[5:]}")
-        for mo in ("1995-06", "1998-03", "1999-12", "2001-07")
+        for mo in (f"{y}-{m:02d}" for y in range(1995, 2002) for m in range(1, 13) if f"{y}-{m:02d}" < "2001-12")
     )
     q["monthly_pivot"] = with_(*MONTHLY) + f"select symbol, {pivot} from measures group by symbol"
     q["arbitrage_summary"] = with_(*MONTHLY) + summary("measures")

@@ -39,7 +39,7 @@ SYMBOLS = [p.symbol for p in PAIRS]
 TRIANGLES = [Triangle("btcusdt", "btcusd", "usdtusd")]
 DAY_RULES = [DayRule("btcusd", "2024-01-15")]
 RANGE_RULES = [RangeRule("usdtusd", "avg_price", 1.001, 1.02), RangeRule("btcusdt", "avg_price", None, 105.0)]
-PIVOT_MONTHS = ["1995-06", "1998-03", "1999-12", "2001-07"]
+PIVOT_MONTHS = [f"{y}-{m:02d}" for y in range(1995, 2002) for m in range(1, 13) if f"{y}-{m:02d}" < "2001-12"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -175,7 +175,7 @@ def descriptive_statistics(spark, sf):
 def outlier_filter_bars(spark, sf):
     bars = _bars(spark, sf).where(price_is_known())
     bucket = tx.bucket_s_to_ms(F.unix_seconds("start_second"), DAY)
-    kept = outlier_filter(bars.withColumn("start_ts", bucket), ["symbol", "start_ts"], "avg_price", 1.5)
+    kept = outlier_filter(bars.withColumn("start_ts", bucket), ["symbol", "start_ts"], "avg_price", 1.5, bounded=True)
     return comparable(kept.select("start_ts", "start_second", "symbol", "avg_price"))
 
 
