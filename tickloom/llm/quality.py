@@ -5,15 +5,17 @@ weight is the ratio of the likelihoods; its logarithm is a sum of per-feature te
 
     log((c_target + PRIOR) / (expected + PRIOR)),   expected = c_raw * n_target / n_raw
 
-so that features seen too rarely to say anything add next to nothing. Two ratios are taken:
+for each occurrence of the feature, where c counts the documents that hold it (so one document's favourite words prove
+nothing) and n all documents of the model. A term is 0 unless c_target and expected differ by SIGNIFICANT standard
+deviations; else documents that happen to be labelled would score better than the like of them. Two ratios are taken:
 
 * quality: trusted documents (labelled good and not toxic) against the whole corpus. Features are token unigrams,
-  token bigrams (a token after itself is one shared feature) and pairs of token shapes;
-* safety: documents labelled not toxic against those labelled toxic, by the number of documents that hold a token. A
-  term counts only where the two differ by SIGNIFICANT standard deviations.
+  token bigrams (a token after itself is one shared feature), pairs of token shapes, and loops: stretches that repeat
+  at a distance of one to four tokens, whatever the tokens;
+* safety: documents labelled not toxic against those labelled toxic, by their tokens.
 
-Each ratio is taken relative to the cut that best parts its labelled documents (equal weight to both kinds of error; 0
-at most, as no evidence is no ground to reject), and the lesser of the two is the document's log-weight: it must be plausible as good and as safe. Resampling without
+Each ratio is taken relative to the cut that best parts its labelled documents (see TRUSTED_WEIGHT), and
+the lesser of the two is the document's log-weight: it must be plausible as good and as safe. Resampling without
 replacement is Gumbel top-k: add independent Gumbel noise, scaled by a temperature, and take the k largest, k being the
 number of documents with a log-weight of 0 or more. The noise is a hash of the document, so results repeat.
 
@@ -40,7 +42,9 @@ from tickloom.session import stage
 BUCKET_BITS = 16
 TOKEN_BITS = 18
 PRIOR = 5.0
-SIGNIFICANT = 4.0
+SIGNIFICANT = 2.5
+#: A trusted document lost weighs as much as so many untrusted ones kept.
+TRUSTED_WEIGHT = 5.0
 LABELLED = 20_000
 #: 1 is plain importance resampling; lower values let less chance in.
 TEMPERATURE = 0.1
@@ -81,30 +85,43 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     a, b = token[:-1][same], token[1:][same]
     pair = np.where((a == b) & (what[1:][same] == 1), np.uint64(7), mix(a * np.uint64(3) + b))
     shapes = mix(shape[:-1][same] * np.uint64(5) + shape[1:][same] + np.uint64(1))
-    keys = np.r_[mix(token ^ np.uint64(0x1F)), mix(pair ^ np.uint64(0x2F)), mix(shapes ^ np.uint64(0x3F))]
-    docs = np.r_[doc, doc[1:][same], doc[1:][same]]
+    keys = [mix(token ^ np.uint64(0x1F)), mix(pair ^ np.uint64(0x2F)), mix(shapes ^ np.uint64(0x3F))]
+    docs = [doc, doc[1:][same], doc[1:][same]]
+    for gap, back in ((1, 1), (2, 1), (3, 1), (4, 1), (1, 2)):
+        # the token gap places before again, and the same holds for the token ``back`` places before
+        reach = gap + back
+        if len(token) > reach:
+            now, then = slice(reach, None), slice(back, len(token) - gap)
+            loop = (token[now] == token[then]) & (token[reach - back : len(token) - back] == token[: len(token) - reach]) & (doc[now] == doc[: len(token) - reach])
+            loop &= what[now] == 1
+            keys.append(np.full(np.count_nonzero(loop), mix(np.uint64([gap * 8 + back]))[0]))
+            docs.append(doc[now][loop])
+    keys, docs = np.concatenate(keys), np.concatenate(docs)
     tokens = mix(token ^ np.uint64(0x4F)) >> np.uint64(64 - TOKEN_BITS)
     return docs, (keys >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), doc, tokens.astype(np.int64)
 
 
 def _emit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, bucket, raw, target); kind 0 quality, 1 safety, 2 the number of labelled documents."""
+    """(kind, bucket, raw, target) documents; kind 0 quality, 1 safety, 2 all documents of safety (0) and quality (1)."""
     quality = np.zeros((2, 1 << BUCKET_BITS), dtype=np.int64)
     safety = np.zeros((2, 1 << TOKEN_BITS), dtype=np.int64)
-    seen = np.zeros(2, dtype=np.int64)
+    seen = np.zeros((2, 2), dtype=np.int64)
     for batch in batches:
         for part in slices(batch):
             docs, bucket, token_docs, tokens = features(part.column("text"))
             good = np.asarray(part.column("good").fill_null(0)) == 1
             toxic = np.asarray(part.column("toxic").fill_null(-1))
+            held = np.unique((docs << BUCKET_BITS) | bucket)
+            bucket = held & ((1 << BUCKET_BITS) - 1)
             quality[0] += np.bincount(bucket, minlength=1 << BUCKET_BITS)
-            quality[1] += np.bincount(bucket[good[docs]], minlength=1 << BUCKET_BITS)
+            quality[1] += np.bincount(bucket[good[held >> BUCKET_BITS]], minlength=1 << BUCKET_BITS)
             for row, kind in ((0, 1), (1, 0)):
                 some = (toxic == kind)[token_docs]
                 held = np.unique((token_docs[some] << TOKEN_BITS) | tokens[some]) & ((1 << TOKEN_BITS) - 1)
                 safety[row] += np.bincount(held, minlength=1 << TOKEN_BITS)
-                seen[row] += np.count_nonzero(toxic == kind)
-    for kind, (raw, target) in enumerate((quality, safety, seen[:, None])):
+                seen[row, 0] += np.count_nonzero(toxic == kind)
+            seen[:, 1] += part.num_rows, np.count_nonzero(good)
+    for kind, (raw, target) in enumerate((quality, safety, seen)):
         some = np.flatnonzero(raw + target)
         yield pa.RecordBatch.from_pydict({"kind": np.full(len(some), kind), "bucket": some, "raw": raw[some], "target": target[some]})
 
@@ -127,7 +144,7 @@ def labelled(labels: DataFrame, most: int = LABELLED) -> DataFrame:
 
 def log_ratios(counts: DataFrame, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
     """The models: one number per feature bucket, one per token bucket."""
-    table = counts.toArrow()  # at most 2**BUCKET_BITS + 2**TOKEN_BITS + 1 rows
+    table = counts.toArrow()  # at most 2**BUCKET_BITS + 2**TOKEN_BITS + 2 rows
     kind, bucket, raws, targets = (table.column(c).to_numpy() for c in ("kind", "bucket", "raw", "target"))
 
     def spread(k: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,20 +152,21 @@ def log_ratios(counts: DataFrame, prior: float = PRIOR) -> tuple[np.ndarray, np.
         raw[bucket[kind == k]], target[bucket[kind == k]] = raws[kind == k], targets[kind == k]
         return raw, target
 
+    (n_toxic, n_all), (n_safe, n_good) = spread(2, 2)
     raw, target = spread(0, 1 << BUCKET_BITS)
-    expected = raw * (target.sum() / raw.sum()) if raw.sum() else raw
-    quality = np.log((target + prior) / (expected + prior))
+    share = n_good / n_all if n_all else 0.0
+    quality = _terms(raw * share, target, np.sqrt(raw * share * (1 - share) + 1), prior)
     toxic, safe = spread(1, 1 << TOKEN_BITS)
-    (n_toxic,), (n_safe,) = spread(2, 1)
-    if not n_toxic or not n_safe:
-        return quality.astype(np.float32), np.zeros(1 << TOKEN_BITS, dtype=np.float32)
-    times = n_safe / n_toxic
-    deviation = np.sqrt(times**2 * toxic + safe + 1)
-    safety = np.log((safe + prior) / (toxic * times + prior))
-    safety[np.abs(safe - toxic * times) < SIGNIFICANT * deviation] = 0
+    times = n_safe / n_toxic if n_toxic and n_safe else 0.0
+    safety = _terms(toxic * times, safe, np.sqrt(times**2 * toxic + safe + 1), prior) * (times > 0)
     return quality.astype(np.float32), safety.astype(np.float32)
 
 
+def _terms(expected: np.ndarray, target: np.ndarray, deviation: np.ndarray, prior: float) -> np.ndarray:
+    term = np.log((target + prior) / (expected + prior))
+    return np.where(np.abs(target - expected) < SIGNIFICANT * deviation, 0.0, term)
+
+
 def _emit_scores(models) -> Callable:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quality, safety = (m.astype(np.float64) for m in models.value)
@@ -166,13 +184,14 @@ def _emit_scores(models) -> Callable:
 
 
 def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
-    """The cut with the least share of good below it plus share of bad at or above it; the least such cut on ties."""
+    """The cut with the least TRUSTED_WEIGHT * share of good below it + share of bad at or above it; the least on ties."""
     if not len(good) or not len(bad):
         return 0.0
     values = np.unique(np.r_[good, bad])
     below = np.searchsorted(np.sort(good), values) / len(good)
     above = 1 - np.searchsorted(np.sort(bad), values) / len(bad)
-    at = np.flatnonzero(np.isclose(below + above, (below + above).min()))[0]
+    cost = TRUSTED_WEIGHT * below + above
+    at = np.flatnonzero(np.isclose(cost, cost.min()))[0]
     return float((values[at - 1] + values[at]) / 2) if at else float(values[at])
 
 
@@ -187,7 +206,7 @@ def weigh(docs: DataFrame, labels: DataFrame, prior: float = PRIOR, most: int =
         *[F.min(c).alias(c) for c in ("quality_ratio", "safety_ratio")], *[F.max(c).alias(c) for c in ("junk", "toxic")]
     ).toArrow()  # at most 3 * LABELLED rows
     junk, toxic, quality, safety = (seen.column(c).to_numpy() for c in ("junk", "toxic", "quality_ratio", "safety_ratio"))
-    cuts = [min(0.0, x) for x in (best_cut(quality[junk == 0], quality[junk == 1]), best_cut(safety[toxic == 0], safety[toxic == 1]))]
+    cuts = best_cut(quality[junk == 0], quality[junk == 1]), best_cut(safety[toxic == 0], safety[toxic == 1])
     weight = F.least(F.col("quality_ratio") - cuts[0], F.col("safety_ratio") - cuts[1])
     return scored.withColumn("log_weight", F.round(weight, 6))
 
