@@ -40,6 +40,8 @@ SHINGLE = 4
 PERCENT = 85
 BAND_RATIO = 1.35
 SKETCH_LONGS = 16
+#: Lanes of each set that help to name a pair once.
+FEW_LANES = 8
 #: Rounds in which each set's parent becomes its parent's parent: trees of depth 4 end as stars.
 JUMPS = 2
 _LANE = np.uint64(0xA24BAED4963EE407)
@@ -262,17 +264,19 @@ def linked_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCE
     of = of.select("lane", "s", F.coalesce("top", "s").alias("c"))
     mixed = of.groupBy("lane").agg(F.min("c").alias("main"), F.max("c").alias("last")).where("main < last").drop("last")
     mixed = stage(of.join(mixed, "lane").distinct(), "mixed-groups")
-    held = stage(mixed.groupBy("s").agg(F.sort_array(F.collect_set("lane")).alias("lanes")).join(known, "s"), "mixed-sets")
+    few = F.slice(F.sort_array(F.collect_set("lane")), 1, FEW_LANES)
+    held = stage(mixed.groupBy("s").agg(few.alias("lanes")).join(known, "s"), "mixed-sets")
 
     def side(name: str) -> DataFrame:
         own = held.select(F.col("s").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("rep", "n", "sketch", "lanes")])
         return mixed.select("lane", "main", F.col("s").alias(name), F.col("c").alias(f"c_{name}")).join(own, name)
 
     across = (F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("main")) | (F.col("a") < F.col("b")))
-    # two sets may share many lanes: only their least common one makes the pair
-    once = F.col("lane") == F.array_min(F.array_intersect("lanes_a", "lanes_b"))
+    # two sets may share many lanes: the least one that both hold among their few least makes the pair, if there is one
+    common = F.array_intersect("lanes_a", "lanes_b")
+    once = (F.size(common) == 0) | (F.col("lane") == F.array_min(common))
     rest = side("a").where("c_a <> main").join(side("b").drop("main"), "lane").where(across & screen("a", "b", percent) & once)
-    rest = stage(rest.select("a", "b", "rep_a", "rep_b"), "rest-pairs")
+    rest = stage(rest.select("a", "b", "rep_a", "rep_b").distinct(), "rest-pairs")
     found = links if rest.isEmpty() else links.union(stage(_verified(rest, rows, size, percent), "rest-links"))
     found = stage(components(found), "components")
 
