@@ -86,26 +86,24 @@ SPELLINGS = [
 ]
 COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright[ \t]*(©|[0-9])|©|all rights reserved)[^\n]*$"
 
+SEPARATORS = "[^a-z0-9+]+"
+
 
 def canonical(text: Column) -> Column:
     out = F.lower(F.coalesce(text, F.lit("")))
     for other, usual in SPELLINGS:
         out = F.replace(out, F.lit(other), F.lit(usual))
     out = F.regexp_replace(out, COPYRIGHT_LINE, " ")
-    return F.trim(F.regexp_replace(out, r"[^a-z0-9.+]+|\.(?![0-9])", " "))
-
-
-def _squeezed(text: Column) -> Column:
-    return F.trim(F.regexp_replace(canonical(text), " +", " "))
+    return F.trim(F.regexp_replace(out, SEPARATORS, " "))
 
 
 def digest(text: Column) -> Column:
-    return F.sha2(_squeezed(text).cast("binary"), 256)
+    return F.sha2(canonical(text).cast("binary"), 256)
 
 
 def known_digests(known: DataFrame) -> DataFrame:
     """digest and ids of a table of license texts (license_id, text)."""
-    rows = known.where(_squeezed(F.col("text")) != "").select(digest(F.col("text")).alias("digest"), "license_id")
+    rows = known.where(canonical(F.col("text")) != "").select(digest(F.col("text")).alias("digest"), "license_id")
     return rows.groupBy("digest").agg(F.array_sort(F.collect_set("license_id")).alias("ids"))
 
 
