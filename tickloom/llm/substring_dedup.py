@@ -190,8 +190,9 @@ def repeated_paths(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     branching = branching.join(firsts, ["node", "path"])
     copies = branching.where("id > lo").select("id", "tag", "start", "n")
     wanted = branching.where("id = lo").groupBy("id", "tag").agg(F.collect_list(F.struct("start", "n")).alias("paths"))
-    edges = rows.join(wanted, ["id", "tag"]).select("id", "tag", "text", "paths")
-    edges = stage(edges.mapInArrow(_emit_edges(window), "node long, edge long, id long, tag int, start int"), "branching-edges")
+    # the same columns as in remove_repeats, so that Spark deals the texts out once for this join and that one
+    edges = rows.join(stage(wanted, "paths-to-cut"), ["id", "tag"]).select("id", "tag", "doc_id", "text", "paths")
+    edges = edges.mapInArrow(_emit_edges(window), "node long, edge long, id long, tag int, start int")
     firsts = edges.groupBy("node", "edge").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").drop("hi")
     cut = edges.join(firsts, ["node", "edge"]).where("id > lo").select("id", "tag", "start", F.lit(1).alias("n"))
     spans = plain.unionByName(copies).unionByName(cut)
