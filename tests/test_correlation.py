@@ -87,3 +87,12 @@ def test_measure_matrix_leaves_out_incomplete_rows(spark):
     assert len(got) == 3
     by = {(r["first"], r["second"]): r.correlation for r in got}
     assert by["logreturn", "volatility"] == pytest.approx(np.corrcoef([1, 2, 3], [1, 4, 9])[0, 1])
+
+
+@pytest.mark.parametrize("df", [1e4, 1e5, 1e7, 1e9, 1e10])
+@pytest.mark.parametrize("t", [0.01, 1.0, 3.0, 8.0])
+def test_student_t_of_many_degrees_of_freedom(t, df):
+    """Next to the normal tails, to the first order in 1 / df."""
+    normal = math.erfc(t / math.sqrt(2))
+    shift = (t**3 + t) / (2 * df) * math.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+    assert student_t_two_sided(t, df)[0] == pytest.approx(normal + shift, rel=1e-6 + t**8 / df**2)

@@ -86,3 +86,20 @@ def test_intervals_must_divide_a_day(spark, rows):
     series = spark.createDataFrame(rows, "start_ts_ob long, symbol string, logreturn double")
     with pytest.raises(ValueError):
         leadlag.lead_lag(series, [660])
+
+
+def test_runs_where_workers_have_no_copy_of_the_package(tmp_path):
+    """A session started elsewhere with an empty PYTHONPATH: the p-value function travels by value."""
+    import os
+    import subprocess
+    import sys
+
+    code = (
+        "import sys; sys.path.insert(0, sys.argv[1])\nfrom workloads.registry import QUERIES\nfrom pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
+        "print('ROWS', QUERIES['lead_lag'](s, '/root/testdata/sf0.001').count() > 0)\n"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    said = subprocess.run([sys.executable, "-c", code, root], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS True" in said.stdout, said.stderr[-2000:]
