@@ -116,7 +116,8 @@ def bm25(rows, is_query, k, n_terms, order):
     idf = {x: math.log(1 + (len(rows) - n + 0.5) / (n + 0.5)) for x, n in df.items()}
     out = {}
     for q in filter(is_query, counts):
-        terms = sorted(counts[q], key=lambda x: (-counts[q][x] * idf[x], order(x)))[:n_terms]
+        own = lambda x: round(idf[x] * counts[q][x] * 2.2 / (counts[q][x] + 1.2 * (0.25 + 0.75 * lengths[q] / mean)), 9)  # noqa: B023, E731
+        terms = sorted(counts[q], key=lambda x: (-own(x), order(x)))[:n_terms]
         scores = defaultdict(list)
         for d, c in counts.items():
             for x in terms:
