@@ -210,7 +210,7 @@ SF = "/root/testdata/sf0.01"
 
 def test_quality_on_held_out_labels(spark):
     """Half of the labels are fitted, the other half judged."""
-    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     fitted = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
     rows = quality.resample(docs, fitted).join(labels.join(fitted, "doc_id", "left_anti"), "doc_id").collect()
     kept = lambda ok: np.mean([r["selected"] for r in rows if ok(r)])
