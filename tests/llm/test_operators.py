@@ -218,6 +218,19 @@ def test_search(spark, corpus, terms, k, shard):
     assert all(abs(a - b) < 2e-6 for q in found for (_, a), (_, b) in zip(found[q], expected[q]))
 
 
+def test_registered_search_takes_whole_queries(spark, corpus, tmp_path):
+    """By default all terms of a query row count, against brute force without a cut."""
+    from tickloom.llm.queries import QUERIES
+
+    frame(spark, corpus).write.parquet(f"{tmp_path}/documents.parquet")
+    expected = brute.bm25(corpus, lambda d: d % 50 == 0, 10, None, str)
+    found = {}
+    for r in QUERIES["op5_block_max_wand"](spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["doc_id"], r["score"]))
+    assert {q: [d for d, _ in v] for q, v in found.items()} == {q: [d for d, _ in v] for q, v in expected.items() if v}
+    assert all(abs(a - b) < 2e-6 for q in found for (_, a), (_, b) in zip(found[q], expected[q]))
+
+
 def test_search_finds_repeated_rows_once(spark, corpus):
     rows = repeated(corpus)
     found = search.search(frame(spark, rows), F.col("doc_id") % 50 == 0).collect()
