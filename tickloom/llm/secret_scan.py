@@ -1,8 +1,8 @@
 """Secret scan with multipart credential linking.
 
 One pass over whole texts finds spans that stand on their own (``assign``, ``access``, ``hex``) and weak parts that
-mean nothing alone: user names and account ids (``ident``), mixed tokens of 20 or more characters (``value``), and
-service addresses (``endpoint``). A scope is a stretch of SCOPE code points around a part. The interval join finds, for
+mean nothing alone: user names and account ids (``ident``), mixed tokens of 20 or more characters (``value``: whole
+runs, dotted ones too, after ``=`` or ``:`` and before a full stop as well), and service addresses (``endpoint``). A scope is a stretch of SCOPE code points around a part. The interval join finds, for
 each weak part, whether complementary parts lie in its scope: parts are summed up by (document, cell of SCOPE code
 points, kind) to the least and greatest place, and a weak part looks at its own cell and the two beside it. That
 decides exactly, without listing pairs. Reported weak parts:
@@ -38,12 +38,14 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")  # a run of 32 or more, whole, as matching begins at its start
 _IDENT = re.compile(r"\b((?ai:user(?:name)?|login|client_?id|account(?:_?id)?))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{3,})")
-_VALUE = re.compile(r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=.-])")
+# a whole run, dots inside it included, as in KEY=VALUE, before a full stop, and of any length; see values() for the rest
+_VALUE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_.-]{20})[A-Za-z0-9+/_-]+(?:\.[A-Za-z0-9+/_-]+)*(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
+_DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 _ENDPOINT = re.compile(r"\b(?:https?|wss?|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[^\s\"'<>]+")
 # what a text must hold, in lower case, before a pattern is worth running
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _NAMES = ("user", "login", "client", "account")
-_LONG = re.compile(r"[A-Za-z0-9+/_-]{20}")
+_LONG = re.compile(r"[A-Za-z0-9+/_.-]{20}")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -58,6 +60,17 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
+def values(text: str) -> list[tuple[int, int]]:
+    """Places of mixed tokens: 20 or more characters, with a letter and a digit, but not the host of an address."""
+    out = []
+    for m in _VALUE.finditer(text):
+        token = m[0].rstrip("=")
+        host = token.startswith("//") and m.start() > 0 and text[m.start() - 1] == ":" and "." in token
+        if len(token) >= 20 and not host and _DIGIT.search(token) and _LETTER.search(token):
+            out.append(m.span())
+    return out
+
+
 def weak_parts(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Parts that only count beside others; parts inside a base span are left out."""
     out, low = [], text.lower()
@@ -66,7 +79,7 @@ def weak_parts(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
     if "://" in text:
         out += [("endpoint", *m.span()) for m in _ENDPOINT.finditer(text)]
     if _LONG.search(text):
-        out += [("value", *m.span()) for m in _VALUE.finditer(text)]
+        out += [("value", *x) for x in values(text)]
     ordered, kept, at = sorted(base, key=lambda x: x[1]), [], 0
     reach = -1  # furthest end of the base spans that start before the part
     for kind, start, end in sorted(out, key=lambda x: (x[1], x[2])):
