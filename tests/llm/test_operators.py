@@ -227,6 +227,25 @@ def test_license_scan(spark):
     ])
 
 
+def test_license_catalogue(spark):
+    """A whole text of each family, usual headings and notices."""
+    texts = {f.stem: f.read_text() for f in licenses.TEXTS.glob("*.txt")}
+    mit = next(t for i, t in licenses.KNOWN if i == "MIT" and len(t) > 200).partition("\n\n")[2]
+    isc = next(t for i, t in licenses.KNOWN if i == "ISC" and len(t) > 200)
+    owner = "Copyright (c) 2020 A. Person\n\n"
+    families = ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0", "OFL-1.1", "Unlicense", "NCSA", "GFDL-1.3"]
+    cases = [(i, texts[i]) for i in families] + [
+        ("MIT", owner + mit), ("MIT", "The MIT License (MIT)\n\n" + owner + mit), ("ISC", "ISC License\n\n" + owner + isc),
+        ("BSD-2-Clause", "BSD 2-Clause License\n\n" + texts["BSD-2-Clause"].replace("<year> <owner>", "2020, A. Person")),
+        ("BSD-3-Clause", "BSD 3-Clause License\n\n" + owner + next(t for i, t in licenses.KNOWN if i == "BSD-3-Clause" and "copyright holder nor" in t)),
+        ("GPL-3.0", texts["GPL-3.0"][: texts["GPL-3.0"].index("How to Apply These Terms")].replace("\n", "\r\n")),
+        ("Apache-2.0", texts["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2020 A. Person")), ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
+        ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."), ("", texts["Apache-2.0"] + " And more."),
+    ]
+    found = licenses.scan(frame(spark, [(n, t) for n, (_, t) in enumerate(cases)])).collect()
+    assert {r["doc_id"]: r["whole_license"] for r in found} == {n: i for n, (i, _) in enumerate(cases)}
+
+
 @pytest.mark.parametrize("terms,k,shard", [(16, 10, 10_000), (5, 3, 7), (1000, 20, 25)])
 def test_search(spark, corpus, terms, k, shard):
     import pyarrow as pa

@@ -11,6 +11,8 @@ equal or not, get a row each; a text known under several ids counts for all of t
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +79,65 @@ KNOWN = [
     ),
 ]
 
+#: Full texts, a file each: license id, then ~ and a number for another wording.
+TEXTS = Path(__file__).with_name("license_texts")
+# Headings that copies of the short licenses have or leave out.
+HEADINGS = {
+    "MIT": ["", "MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "ISC": ["", "ISC License", "The ISC License", "ISC License (ISC)"],
+    "0BSD": ["", "BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)"],
+    "Zlib": ["", "zlib License", "The zlib License", "The zlib/libpng License"],
+    "BSD-2-Clause": ["", "BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License"],
+    "BSD-3-Clause": ["", "BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License", "BSD License"],
+    "BSL-1.0": ["", "Boost Software License 1.0"],
+    "Unlicense": ["", "The Unlicense"],
+}
+# Where the terms end and the advice on how to use them begins.
+ADVICE = ["APPENDIX: How to apply the Apache License", "How to Apply These Terms to Your New Programs", "How to Apply These Terms to Your New Libraries", "ADDENDUM: How to use this License for your documents"]
+# Names in notices.
+NAMES = {
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0 License"], "MIT": ["MIT License"], "ISC": ["ISC License"], "Zlib": ["zlib License"],
+    "BSD-2-Clause": ["BSD 2-Clause License"], "BSD-3-Clause": ["BSD 3-Clause License"], "BSL-1.0": ["Boost Software License, Version 1.0"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GPLv2"], "GPL-3.0": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GPLv3"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "LGPLv2.1"], "LGPL-3.0": ["GNU Lesser General Public License, version 3", "LGPLv3"],
+    "AGPL-3.0": ["GNU Affero General Public License, version 3", "AGPLv3"], "MPL-2.0": ["Mozilla Public License, Version 2.0", "Mozilla Public License 2.0"], "EPL-2.0": ["Eclipse Public License 2.0"],
+    "OFL-1.1": ["SIL Open Font License, Version 1.1"], "Unlicense": ["Unlicense"],
+} | {f"CC-{x}-4.0": [f"CC {x} 4.0"] for x in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND")}
+IDENTIFIERS = [*NAMES, "0BSD", "CC0-1.0", "NCSA", "Unicode-3.0", "Artistic-1.0-Perl", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "LGPL-2.0", "MPL-1.1"]
+
+
+def _wordings(license_id: str, text: str) -> list[str]:
+    """A full text as copies have it: without the advice at its end, without numbers or owners, under each heading."""
+    text = text.replace("<copyright notice>", "")
+    out = [text]
+    for mark in ADVICE:
+        out += [text[: text.index(mark)]] if mark in text else []
+    if "Copyright [yyyy] [name of copyright owner]" in text:
+        out.append(text.replace("Copyright [yyyy] [name of copyright owner]", ""))  # filled in, it is a copyright line
+    if license_id == "BSD-2-Clause":
+        out += [text.replace("HOLDER OR", "OWNER OR"), text.replace("HOLDER OR", "HOLDERS OR")]
+    if license_id in ("BSD-2-Clause", "BSD-3-Clause"):
+        out += [x.replace("\n1. ", "\n* ").replace("\n2. ", "\n* ").replace("\n3. ", "\n* ") for x in out]
+    headings = HEADINGS.get(license_id, [""])
+    for h in headings:
+        out = [x.partition("\n")[2] if h and x.partition("\n")[0].strip() == h else x for x in out]
+    return [f"{h}\n\n{x}" if h else x for x in out for h in headings]
+
+
+def _catalogue() -> list[tuple[str, str]]:
+    full = [(f.stem.partition("~")[0], f.read_text(encoding="utf-8")) for f in sorted(TEXTS.glob("*.txt"))]
+    disclaimer = "THIS SOFTWARE IS PROVIDED BY"
+    for text in [t for i, t in full if i == "BSD-2-Clause"]:
+        third = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+        full += [("BSD-3-Clause", x.replace(disclaimer, third + disclaimer)) for x in (text, text.replace("HOLDER OR", "OWNER OR"), text.replace("HOLDER OR", "HOLDERS OR"))]
+    full += [(i, t) for i, t in KNOWN if len(t) > 200]
+    notices = [(i, f"{verb} the {n}." if "License" in n or "Unlicense" in n else f"{verb} {n}.") for i, names in NAMES.items() for n in names
+               for verb in ("Licensed under", "Released under", "This work is licensed under", "This project is licensed under", "Distributed under")]
+    suffixes = lambda i: ["", "-only", "-or-later", "+"] if "GPL" in i or "GFDL" in i else [""]
+    spdx = [(i, f"SPDX-License-Identifier: {i}{x}") for i in IDENTIFIERS for x in suffixes(i)]
+    return list(dict.fromkeys([*KNOWN, *((i, x) for i, t in full for x in _wordings(i, t)), *notices, *spdx]))
+
+
 # Spellings that count as equal, applied to lower-case text in this order.
 SPELLINGS = [
     ("licence", "license"), ("licencing", "licensing"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"),
@@ -84,6 +145,7 @@ SPELLINGS = [
     ("favour", "favor"), ("judgement", "judgment"), ("whilst", "while"), ("wilful", "willful"), ("https:", "http:"),
     ("(c)", "©"), ("&", " and "),
 ]
+KNOWN = _catalogue()
 COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright[ \t]*(©|[0-9])|©|all rights reserved)[^\n]*$"
 
 SEPARATORS = "[^a-z0-9+]+"
