@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickloom.llm import licenses
+from tickloom.llm import licenses, repetition
 
 _PLAIN = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -80,9 +80,49 @@ select doc_id, coalesce(array_to_string(k.ids, ','), '') as whole_license, coale
   w.d as text_digest
 from whole w left join known k on k.d = w.d left join notices n on n.r = w.r"""
 
+def _repeats(size: int) -> str:
+    """Words of ``ahead`` that lie in a window of ``size`` words which their document holds twice or more."""
+    words = ", ".join(["x", *[f"x{k}" for k in range(1, size)]])
+    return f"""r{size} as (
+  select doc_id, p, chars, x{size - 1} is not null and count(*) over (partition by doc_id, {words}) > 1 as again from ahead),
+c{size} as (
+  select doc_id, count(*) as n, sum(chars) as chars
+  from (select doc_id, chars, bool_or(again) over (partition by doc_id order by p rows between {size - 1} preceding and current row) as hit from r{size})
+  where hit group by doc_id)"""
+
+
+_SIZES = sorted({repetition.BASE_WINDOW, *repetition.LIMITS})
+_PASSED = " or ".join(
+    [f"100 * coalesce(c{s}.chars, 0) > {limit} * word_chars" for s, limit in sorted(repetition.LIMITS.items())]
+    + [f"100 * coalesce(dup_line_chars, 0) > {repetition.LINE_LIMIT} * word_chars", f"100 * n_symbols > {repetition.SYMBOL_LIMIT} * n_words"]
+)
+REPETITION = f"""
+with docs as (
+  select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+words as (select doc_id, length(x) as chars, x, p from (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as p from docs)),
+ahead as (
+  select doc_id, p, chars, x, {", ".join(f"lead(x, {k}) over (partition by doc_id order by p) as x{k}" for k in range(1, max(_SIZES)))} from words),
+lines as (
+  select doc_id, length(regexp_replace(l, '[\\x20\\x09-\\x0D]+', '', 'g')) as chars, row_number() over (partition by doc_id, l order by p) as n
+  from (select doc_id, unnest(string_split(t, chr(10))) as l, unnest(range(1, len(string_split(t, chr(10))) + 1)) as p from docs)),
+again as (select doc_id, count(*) as n_dup_lines, sum(chars) as dup_line_chars from lines where n > 1 and chars > 0 group by doc_id),
+sized as (select doc_id, sum(chars) as word_chars from words group by doc_id),
+{", ".join(_repeats(s) for s in _SIZES)},
+base as (
+  select doc_id, len(w) as n_words, coalesce(word_chars, 0) as word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as n_symbols, n_dup_lines, dup_line_chars, coalesce(c{repetition.BASE_WINDOW}.n, 0) as n_repeat_words
+  from docs left join sized using (doc_id) left join again using (doc_id) left join c{repetition.BASE_WINDOW} using (doc_id)),
+failed as (select *, n_words < {repetition.FEWEST_WORDS} or 100 * n_repeat_words > {repetition.MOST_REPEATED} * n_words as base_failed from base)
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols,
+  coalesce(n_dup_lines, 0)::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, coalesce(dup_line_chars, 0)::bigint as dup_line_chars,
+  {", ".join(f"coalesce(c{s}.chars, 0)::bigint as repeat_chars_{s}" for s in sorted(repetition.LIMITS))},
+  base_failed, not base_failed and not ({_PASSED}) as kept
+from failed {" ".join(f"left join c{s} using (doc_id)" for s in sorted(repetition.LIMITS))}"""
+
 ORACLES = {
     "op1_substring_dedup": SUBSTRING_DEDUP,
     "op3_chat_formatting": CHAT,
     "op4_decontamination": DECONTAMINATION,
     "op7_license_digests": LICENSES,
+    "op11_repetition_coverage": REPETITION,
 }

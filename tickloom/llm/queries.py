@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import chat, decontamination, jaccard_join, licenses, packing, quality, search, secret_scan, substring_dedup, token_files
+from tickloom.llm import chat, decontamination, jaccard_join, licenses, packing, quality, repetition, search, secret_scan, substring_dedup, token_files
 from tickloom.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,8 @@ def op3_chat_formatting(spark, sf_dir):
 @query
 def op5_block_max_wand(spark, sf_dir):
     return search.search(table(spark, sf_dir, "documents"), F.col("doc_id") % 50 == 0).drop("query_tag", "tag")
+
+
+@query
+def op11_repetition_coverage(spark, sf_dir):
+    return repetition.judge(table(spark, sf_dir, "documents"))
