@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickloom.llm import licenses, repetition
+from tickloom.llm import fill_in_middle, licenses, repetition
 
 _PLAIN = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -119,10 +119,27 @@ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_s
   base_failed, not base_failed and not ({_PASSED}) as kept
 from failed {" ".join(f"left join c{s} using (doc_id)" for s in sorted(repetition.LIMITS))}"""
 
+FILL_IN_MIDDLE = f"""
+with docs as (select doc_id, coalesce(text, '') as t, sha256('{fill_in_middle.SEED}:' || coalesce(doc_id::varchar, '')) as h from documents),
+drawn as (
+  select *, length(t) as n, {", ".join(f"('0x' || substr(h, {8 * i + 1}, 8))::ubigint as h{i + 1}" for i in range(4))} from docs),
+cut as (
+  select *, least(h1 % (n + 1), h2 % (n + 1))::bigint as a, greatest(h1 % (n + 1), h2 % (n + 1))::bigint as b,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= {fill_in_middle.CUT_PERCENT} then 'plain'
+      when h4 % 100 < {fill_in_middle.SPM_PERCENT} then 'spm' else 'psm' end as form
+  from drawn),
+parts as (select *, substr(t, 1, a) as p, substr(t, a + 1, b - a) as m, substr(t, b + 1) as s from cut)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end)
+    as output_sha256,
+  sha256(t) as restored_sha256
+from parts"""
+
 ORACLES = {
     "op1_substring_dedup": SUBSTRING_DEDUP,
     "op3_chat_formatting": CHAT,
     "op4_decontamination": DECONTAMINATION,
     "op7_license_digests": LICENSES,
     "op11_repetition_coverage": REPETITION,
+    "op12_fill_in_middle": FILL_IN_MIDDLE,
 }
