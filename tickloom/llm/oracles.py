@@ -135,6 +135,89 @@ select doc_id, n::bigint as n, form, case when form <> 'plain' then a end as pre
   sha256(t) as restored_sha256
 from parts"""
 
+def _steps() -> str:
+    """Rows (state, initial, must go, truncated, next state, cost, letters) of up to two insertions and an edit."""
+    after, rows = {"": "u", "s": "u", "u": "a", "a": "u"}, []
+    for state in after:
+        for initial in "sua-":
+            for gone, cut in ((True, False), (False, False), (False, True)):
+                at, cost, letters = state, 0, ""
+                for _ in range(3):
+                    ways = [(at, 4, "D")]
+                    if not gone:
+                        ways.append((after[at], 3 + 3 * cut, "R"))
+                        if initial == after[at] or (initial == "s" and at == ""):
+                            ways.append((initial, 3 * cut, "K"))
+                    rows += [f"('{state}', '{initial}', {gone}, {cut}, '{to}', {cost + c}, '{letters + x}')" for to, c, x in ways]
+                    at, cost, letters = after[at], cost + 3, letters + "I"
+    return ", ".join(rows)
+
+
+REPAIR = f"""
+with recursive crc(i, k, c) as (
+  select i, 0, i from range(256) t(i)
+  union all select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from crc where k < 8),
+bytes as (select list(c order by i) as t from crc where k = 8),
+given as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as name
+  from conversations),
+summed as (
+  select conv_id, turn, role, text, xor(list_reduce(
+    list_prepend(4294967295::bigint, list_transform(string_split(name, ''), lambda x: ord(x)::bigint)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 as kind
+  from given, bytes),
+damaged as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+    case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(range(case when kind = 3 then 2 else 1 end)) as copy
+  from summed where kind <> 0),
+ordered as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from damaged),
+marked as (
+  select *, not regexp_matches(text, '[^\\x20\\x09-\\x0D]') as blank, row_number() over (partition by conv_id, role, text order by i) > 1 as seen,
+    not regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') as cut, substr(role, 1, 1) as initial,
+    lag(substr(role, 1, 1)) over (partition by conv_id order by i) as before
+  from ordered),
+turns as (
+  select *, blank or seen as gone, cut and not blank and not seen as trimmed, case when initial in ('s', 'u', 'a') then initial else '-' end as sort
+  from marked),
+steps(state, sort, gone, trimmed, next, more, letters) as (values {_steps()}),
+ways(conv_id, i, state, cost, audit) as (
+  select distinct conv_id, 0::bigint, '', 0::bigint, '' from turns
+  union all
+  select conv_id, i, next, cost, audit from (
+    select w.conv_id, t.i, s.next, w.cost + s.more as cost, w.audit || s.letters as audit,
+      row_number() over (partition by w.conv_id, s.next order by w.cost + s.more, w.audit || s.letters) as n
+    from ways w join turns t on t.conv_id is not distinct from w.conv_id and t.i = w.i + 1
+    join steps s on s.state = w.state and s.sort = t.sort and s.gone = t.gone and s.trimmed = t.trimmed)
+  where n = 1),
+ended as (
+  select conv_id, i, cost + case state when 'u' then 3 when 's' then 6 else 0 end as cost,
+    audit || case state when 'u' then 'I' when 's' then 'II' else '' end as audit
+  from ways),
+best as (
+  select conv_id, cost, audit from (
+    select *, row_number() over (partition by conv_id order by i desc, cost, audit) as n from ended) where n = 1),
+letters as (
+  select conv_id, unnest(string_split(audit, '')) as x, unnest(range(1, length(audit) + 1)) as k from best where audit <> ''),
+placed as (select *, sum((x <> 'I')::int) over (partition by conv_id order by k) as i from letters),
+left_over as (
+  select p.conv_id, k, x, t.role, t.text, row_number() over (partition by p.conv_id order by k) as o,
+    max((x = 'K' and t.initial = 's')::int) over (partition by p.conv_id) as headed
+  from placed p left join turns t on t.conv_id is not distinct from p.conv_id and t.i = p.i and x <> 'I' where x <> 'D'),
+repaired as (
+  select conv_id, string_agg(case when x = 'K' then role when (o - headed) % 2 = 1 then 'user' else 'assistant' end || ':' || coalesce(text, ''), chr(10) order by k) as t
+  from left_over group by conv_id),
+counted as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, sum(blank::int) as blank, sum((seen and not blank)::int) as duplicate,
+    sum(trimmed::int) as truncated, sum((before is not null and before || initial not in ('su', 'ua', 'au'))::int) as illegal
+  from turns group by conv_id)
+select c.conv_id, {", ".join(f"coalesce({n}, 0)::bigint as {n}" for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"))},
+  coalesce(audit, '') as audit, sha256(coalesce(t, '')) as repaired_sha256
+from (select distinct conv_id from conversations) c
+left join counted n on n.conv_id is not distinct from c.conv_id
+left join best b on b.conv_id is not distinct from c.conv_id
+left join repaired r on r.conv_id is not distinct from c.conv_id"""
+
 ORACLES = {
     "op1_substring_dedup": SUBSTRING_DEDUP,
     "op3_chat_formatting": CHAT,
@@ -142,4 +225,5 @@ ORACLES = {
     "op7_license_digests": LICENSES,
     "op11_repetition_coverage": REPETITION,
     "op12_fill_in_middle": FILL_IN_MIDDLE,
+    "op13_conversation_repair": REPAIR,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import chat, decontamination, fill_in_middle, jaccard_join, licenses, packing, quality, repetition, search, secret_scan, substring_dedup, token_files
+from tickloom.llm import chat, conversation_repair, decontamination, fill_in_middle, jaccard_join, licenses, packing, quality, repetition, search, secret_scan, substring_dedup, token_files
 from tickloom.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,9 @@ def op11_repetition_coverage(spark, sf_dir):
 @query
 def op12_fill_in_middle(spark, sf_dir):
     return fill_in_middle.with_digests(fill_in_middle.transform(table(spark, sf_dir, "documents")))
+
+
+@query
+def op13_conversation_repair(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.report(conversation_repair.damage(conversations), conversations)
