@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 LEAST = -(1 << 63)
@@ -125,3 +126,96 @@ def bm25(rows, is_query, k, n_terms, order):
                     scores[d].append(idf[x] * c[x] * 2.2 / (c[x] + 1.2 * (0.25 + 0.75 * lengths[d] / mean)))
         out[q] = sorted(((d, math.fsum(s)) for d, s in scores.items()), key=lambda x: (-x[1], x[0]))[:k]
     return out
+
+
+def repetition(text, sizes=(5, 6, 7, 8, 9, 10), base=8):
+    """Counts of one text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, dup_line_chars and characters by n-gram length."""
+    text = text or ""
+    w = spaced(text)
+
+    def marked(size):
+        places = defaultdict(list)
+        for i in range(len(w) - size + 1):
+            places[tuple(w[i : i + size])].append(i)
+        return {p for at in places.values() if len(at) > 1 for i in at for p in range(i, i + size)}
+
+    again, seen = [], set()
+    for line in text.split("\n"):
+        if spaced(line):
+            if line in seen:
+                again.append(line)
+            seen.add(line)
+    return (
+        len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(again), len(marked(base)),
+        sum(len(x) for line in again for x in spaced(line)), *[sum(len(w[p]) for p in marked(s)) for s in sizes],
+    )
+
+
+def middle(doc_id, text, unit="chars", seed=1):
+    """(doc_id, n, form, prefix_chars, middle_chars, output) of one text."""
+    text = text or ""
+    starts = {
+        "chars": lambda: [*range(len(text))],
+        "words": lambda: [m.start() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)],
+        "lines": lambda: [0] * bool(text) + [m.end() for m in re.finditer("\n", text) if m.end() < len(text)],
+    }[unit]()
+    digest = sha(f"{seed}:{'' if doc_id is None else doc_id}")
+    h1, h2, h3, h4 = (int(digest[i : i + 8], 16) for i in range(0, 32, 8))
+    n = len(starts)
+    if not text or re.search("<[PSM]>", text) or h3 % 100 >= 90:
+        return doc_id, n, "plain", None, None, text
+    a, b = (0 if k == 0 else ([*starts, len(text)])[k] for k in sorted((h1 % (n + 1), h2 % (n + 1))))
+    p, m, s = text[:a], text[a:b], text[b:]
+    if h4 % 100 < 20:
+        return doc_id, n, "spm", a, b - a, f"<S>{s}<P>{p}<M>{m}"
+    return doc_id, n, "psm", a, b - a, f"<P>{p}<S>{s}<M>{m}"
+
+
+def damaged(rows):
+    """rows: (conv_id, turn, role, text)."""
+    out = []
+    for conv, turn, role, text in rows:
+        role, text = " " if role is None else role, " " if text is None else text
+        kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        out += [(conv, turn, "user" if kind == 4 else role, text)] * (0 if kind == 0 else 2 if kind == 3 else 1)
+    return out
+
+
+def repair(rows):
+    """(gaps, blank, duplicate, truncated, illegal, cost, audit, repaired text) of one conversation: (turn, role, text)."""
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1][:64], r[2][:64], r[1], r[2]))
+    fault, seen = [], set()
+    for _, role, text in rows:
+        shown = re.findall(r"[^\x20\x09-\x0D]", text)
+        fault.append("blank" if not shown else "duplicate" if (role, text) in seen else "truncated" if shown[-1] not in ".!?" else "")
+        seen.add((role, text))
+    # plain dynamic programming from the end: states are the role before ("" at the beginning) and insertions in a row
+    following = {"": "su", "s": "u", "u": "a", "a": "u"}
+    table = {}
+    for i in range(len(rows), -1, -1):
+        for inserted in range(3, -1, -1):
+            for state in following:
+                ways = [(0, "", ())] if i == len(rows) and state in ("", "a") else []
+                if inserted < 3:
+                    for x in following[state].replace("s", ""):
+                        cost, audit, made = table[i, inserted + 1, x]
+                        ways.append((cost + 3, "I" + audit, (({"u": "user", "a": "assistant"}[x], ""), *made)))
+                if i < len(rows):
+                    _, role, text = rows[i]
+                    cost, audit, made = table[i + 1, 0, state]
+                    ways.append((cost + 4, "D" + audit, made))
+                    if fault[i] not in ("blank", "duplicate"):
+                        more = 3 * (fault[i] == "truncated")
+                        for x in following[state]:
+                            cost, audit, made = table[i + 1, 0, x]
+                            if role[:1] == x:
+                                ways.append((cost + more, "K" + audit, ((role, text), *made)))
+                            if x != "s":
+                                ways.append((cost + 3 + more, "R" + audit, (({"u": "user", "a": "assistant"}[x], text), *made)))
+                table[i, inserted, state] = min(ways, default=(math.inf, "", ()))
+    cost, audit, made = table[0, 0, ""]
+    turns = [t for t, _, _ in rows if t is not None]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    return gaps, *(fault.count(k) for k in ("blank", "duplicate", "truncated")), illegal, cost, audit, "\n".join(f"{r}:{t}" for r, t in made)
