@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.measures import ieee_ratio, number
 from tickloom.functions.timeexpr import bucket_ms
+from tickloom.operators.prefilter import likely_in
 from tickloom.session import stage
 
 GROUP = ["symbol", "start_ts"]
@@ -27,11 +28,13 @@ def snapshot_times(book: DataFrame, seconds: int) -> DataFrame:
 def snapshot_levels(book: DataFrame, times: DataFrame) -> DataFrame:
     """Price levels of the wanted snapshots: one row per (symbol, bucket, side, price).
 
-    ``times`` holds one row per wanted snapshot. Equal prices are merged while still map-side; the
-    largest single quote of a level is kept because a thin book needs it.
+    ``times``, a staged table, holds one row per wanted snapshot. Other snapshots are left out at the scan, so that the
+    join moves little more than what it keeps, whichever way the planner picks for it. Equal prices are merged while
+    still map-side; the largest single quote of a level is kept because a thin book needs it.
     """
+    wanted = times.select(*GROUP, "date")
     return (
-        book.join(times.select(*GROUP, "date"), ["symbol", "date"])
+        likely_in(book, wanted, ["symbol", "date"]).join(wanted, ["symbol", "date"])
         .select(
             *GROUP,
             F.coalesce(F.col("type") == "b", F.lit(False)).alias("bid"),
