@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import argparse
 import json
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.operators import correlation, leadlag
+from tickloom.operators import correlation, leadlag, pairing
 from tickloom.operators.rates import PairRates, check_pairs
 from tickloom.operators.triangle import Triangle
 from tickloom.functions.timeexpr import day_arg_to_ms
@@ -45,6 +46,10 @@ PERIOD = (arg("--from", dest="first", required=True, metavar="DAY"), arg("--to",
 TRADES = arg("--trades", required=True, nargs="+", help="trade files or globs")
 SERIES = arg("--series", required=True, nargs="+", help="order-book series")
 MINUTES = arg("--minutes", type=int, default=5)
+PAIR_CHOICE = (
+    arg("--pairs-list", help='JSON list of pairs of symbols, e.g. [["ethbtc","btcusd"]]; by default all pairs'),
+    arg("--symbols", nargs="+", help="take all pairs of these symbols alone"),
+)
 
 
 class Context:
@@ -74,6 +79,15 @@ class Context:
     def pairs(self) -> list[PairRates]:
         return check_pairs([PairRates(*entry) for entry in json.loads(self.args.pairs)])
 
+    def pair_choice(self, series: DataFrame) -> dict:
+        """The chosen pairs, or how to split the work of all pairs of a staged series."""
+        if self.args.pairs_list and self.args.symbols:
+            raise ValueError("give either --pairs-list or --symbols")
+        chosen = json.loads(self.args.pairs_list) if self.args.pairs_list else combinations(self.args.symbols or (), 2)
+        if self.args.pairs_list or self.args.symbols:
+            return {"pairs": pairing.pair_list(self.spark, chosen)}
+        return {"blocks": pairing.symbol_blocks(series)}
+
     def path(self, job: str, step: str = "") -> str:
         first, last = getattr(self.args, "first", None) or "", getattr(self.args, "last", None) or ""
         return f"{self.args.out.rstrip('/')}/{writers.run_name(job, self.args.label, first, last, step)}"
@@ -188,18 +202,21 @@ def intra_pair_correlation(c: Context) -> None:
     writers.write_report(table.select("symbol", "first", "second", "correlation", "significance"), path, "symbol")
 
 
-@job("cross-pair-correlation", SERIES, MINUTES)
+@job("cross-pair-correlation", SERIES, MINUTES, *PAIR_CHOICE)
 def cross_pair_correlation(c: Context) -> None:
-    clean = c.table(c.args.series, schemas.CLEAN_SERIES)
-    table = correlation.with_significance(correlation.cross_pair(clean, c.args.minutes * 60))
+    wanted = {"start_ts_ob", "symbol", *correlation.CROSS_MEASURES} - {"volatility"}
+    clean = stage(c.table(c.args.series, schemas.CLEAN_SERIES).select(*sorted(wanted)), "series")
+    correlations = correlation.cross_pair(clean, c.args.minutes * 60, **c.pair_choice(clean))
+    table = correlation.with_significance(correlations)
     path = c.path("crosspair_correlations", f"{c.args.minutes}m")
     writers.write_parts(table.select("measure", "first", "second", "correlation", "significance"), path)
 
 
-@job("lead-lag", SERIES, arg("--keep-sign", action="store_true", help="do not flip the leader's returns"))
+@job("lead-lag", SERIES, arg("--keep-sign", action="store_true", help="do not flip the leader's returns"), *PAIR_CHOICE)
 def lead_lag(c: Context) -> None:
-    clean = c.table(c.args.series, schemas.CLEAN_SERIES)
-    fits = stage(leadlag.with_p_value(leadlag.lead_lag(clean, [300, 3600], not c.args.keep_sign)), "fits")
+    clean = stage(c.table(c.args.series, schemas.CLEAN_SERIES).select("start_ts_ob", "symbol", "logreturn"), "series")
+    fits = leadlag.lead_lag(clean, [300, 3600], not c.args.keep_sign, **c.pair_choice(clean))
+    fits = stage(leadlag.with_p_value(fits), "fits")
     for value in ("beta", "p_value"):
         table = leadlag.lead_lag_table(fits, value)
         writers.write_report(table, c.path(f"lead_lag_{value}"), "leader", "follower", "interval")

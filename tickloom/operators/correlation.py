@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.significance import correlation_t, p_value
 from tickloom.functions.timeexpr import bucket_ms
+from tickloom.operators.pairing import paired, symbols_of
 
 # The measures, in the order that makes the (first, second) labels of the results.
 SUMMED = ["logreturn", "total_volume", "volatility", "total_order_flow", "total_number_of_trades"]
@@ -93,16 +94,16 @@ def intra_pair(series: DataFrame, seconds: int, measures: list[str] = INTRA_MEAS
     return measure_pairs(bucketed(series, seconds, measures), measures)
 
 
-def cross_pair(series: DataFrame, seconds: int, measures: list[str] = CROSS_MEASURES) -> DataFrame:
-    """Correlation of one measure between every two symbols.
+def cross_pair(series: DataFrame, seconds: int, measures: list[str] = CROSS_MEASURES, pairs: DataFrame | None = None, blocks: int = 1) -> DataFrame:
+    """Correlation of one measure between every two symbols, or between those of ``pairs`` (see ``pairing.pair_list``).
 
-    The table of symbol pairs is the result itself. The join matches rows already reduced to one
-    per (bucket, symbol), and its matches are combined map-side into one row per pair and measure.
+    The join matches rows already reduced to one per (bucket, symbol), and its matches are combined map-side into one
+    row per pair and measure. Without ``pairs`` the table of all symbol pairs is the result itself; ``blocks`` splits a
+    bucket's pairs over tasks where there are many symbols (``pairing.symbol_blocks``).
     """
-    bins = bucketed(series, seconds, measures)
-    left = bins.select("ts_interval", F.col("symbol").alias("first"), *[F.col(m).alias(f"x_{m}") for m in measures])
-    right = bins.select("ts_interval", F.col("symbol").alias("second"), *[F.col(m).alias(f"y_{m}") for m in measures])
-    matched = left.join(right, "ts_interval").where(F.col("first") < F.col("second"))
+    if pairs is not None:
+        series = symbols_of(series, pairs)
+    matched = paired(bucketed(series, seconds, measures), "ts_interval", measures, pairs, blocks)
     point = lambda m: F.struct(F.lit(m).alias("measure"), F.col(f"x_{m}").cast("double").alias("x"), F.col(f"y_{m}").cast("double").alias("y"))
     points = F.inline(F.array(*[point(m) for m in measures]))
     return pearson(matched.select("first", "second", points), ["measure", "first", "second"])

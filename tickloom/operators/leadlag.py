@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from math import gcd
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.measures import ieee_ratio
 from tickloom.functions.significance import p_value
 from tickloom.functions.timeexpr import DAY_MS, DAY_S, bucket_ms
+from tickloom.operators.pairing import paired, symbols_of
+from tickloom.session import stage
 
 LAGS = list(range(11))
 FOLLOWER_SHIFT = 5
-# Share of the squared total below which a residual is rounding noise.
+#: Share of the squared total below which a residual is rounding noise.
 PERFECT_FIT = 1e-12
 PAIR = ["leader", "follower"]
 FIT = [*PAIR, "interval"]
@@ -23,41 +27,62 @@ def lag_label(lag: int) -> str:
     return "t" if ahead == 0 else f"t{ahead:+d}"
 
 
-def joined_returns(series: DataFrame, flip_leader: bool = True) -> DataFrame:
-    """Leader and follower returns on common instants, for every ordered pair of different symbols."""
+def pair_bins(series: DataFrame, seconds: int, pairs: DataFrame | None = None, blocks: int = 1) -> DataFrame:
+    """Mergeable returns of each unordered pair per bin, over the instants both symbols have: staged.
+
+    For both sides (``x`` of ``first``, ``y`` of ``second``) a bin holds the number of known returns, their sum, the sum
+    of squares about their mean, and the range. One join serves every interval and both directions.
+    """
     known = F.nanvl(F.col("logreturn").cast("double"), F.lit(None).cast("double"))
     rows = series.select("start_ts_ob", "symbol", known.alias("r"))
-    sign = -1.0 if flip_leader else 1.0
-    leader = rows.select("start_ts_ob", F.col("symbol").alias("leader"), (F.col("r") * sign).alias("x"))
-    follower = rows.select("start_ts_ob", F.col("symbol").alias("follower"), F.col("r").alias("y"))
-    return leader.join(follower, "start_ts_ob").where(F.col("leader") != F.col("follower"))
+    met = paired(rows, "start_ts_ob", ["r"], pairs, blocks)
+    sides = [
+        c for side in "xy" for value in [F.col(f"{side}_r")]
+        for c in (
+            F.count(value).alias(f"n{side}"), F.sum(value).alias(f"s{side}"), (F.var_pop(value) * F.count(value)).alias(f"q{side}"),
+            F.min(value).alias(f"low_{side}"), F.max(value).alias(f"high_{side}"),
+        )
+    ]
+    bins = met.groupBy("first", "second", bucket_ms(F.col("start_ts_ob"), seconds).alias("bin"))
+    return stage(bins.agg(F.min("start_ts_ob").alias("first_ts"), *sides), "pair-bins")
+
 
+def pair_scales(bins: DataFrame) -> DataFrame:
+    """Mean and sample deviation of both sides of a pair, and its first instant, merged from its bins."""
 
-def standardized_bins(pairs: DataFrame, intervals: list[int]) -> DataFrame:
-    """Sums of z-scored returns per bin, for every interval (seconds) at once.
+    def scale(side: str) -> list[Column]:
+        n, s = F.sum(f"n{side}"), F.sum(f"s{side}")
+        between = F.sum(F.try_divide(F.col(f"s{side}") * F.col(f"s{side}"), F.col(f"n{side}"))) - F.try_divide(s * s, n)
+        varied = F.min(f"low_{side}") < F.max(f"high_{side}")  # else only rounding is left of the difference
+        squares = F.when(varied, F.greatest(F.sum(f"q{side}") + between, F.lit(0.0))).otherwise(F.lit(0.0))
+        return [F.try_divide(s, n).alias(f"m{side}"), F.sqrt(F.try_divide(squares, n - 1)).alias(f"d{side}")]
 
-    Scoring is linear, so returns are summed per bin first and scored once per bin, not per row.
-    ``first_ts`` is the pair's first instant.
+    return bins.groupBy("first", "second").agg(F.min("first_ts").alias("first_ts"), *scale("x"), *scale("y"))
+
+
+def standardized_bins(bins: DataFrame, intervals: list[int], flip_leader: bool = True) -> DataFrame:
+    """Sums of z-scored returns per bin, for every interval (seconds) and both directions of a pair.
+
+    Scoring is linear, so returns are summed per bin first and scored once per bin, not per row; coarser bins are sums
+    of the finest, and the mirrored direction swaps the sides. ``first_ts`` is the pair's first instant.
     """
-    stats = pairs.groupBy(*PAIR).agg(
-        F.avg("x").alias("mx"), F.stddev_samp("x").alias("sx"),
-        F.avg("y").alias("my"), F.stddev_samp("y").alias("sy"),
-        F.min("start_ts_ob").alias("first_ts"),
-    )
-    time = F.col("start_ts_ob")
-    places = [F.struct(F.lit(s).cast("long").alias("interval"), bucket_ms(time, s).alias("bin")) for s in intervals]
-    bins = (
-        pairs.select(*PAIR, "x", "y", F.inline(F.array(*places)))
-        .groupBy(*FIT, "bin")
-        .agg(F.sum("x").alias("x"), F.count("x").alias("nx"), F.sum("y").alias("y"), F.count("y").alias("ny"))
+    places = [F.struct(F.lit(s).cast("long").alias("interval"), bucket_ms(F.col("bin"), s).alias("bin")) for s in intervals]
+    wide = (
+        bins.select("first", "second", "nx", "sx", "ny", "sy", F.inline(F.array(*places)))
+        .groupBy("first", "second", "interval", "bin")
+        .agg(*[F.sum(c).alias(c) for c in ("nx", "sx", "ny", "sy")])
     )
 
-    def score(total: str, count: str, mean: str, dev: str):
-        return F.coalesce(F.try_divide(F.col(total) - F.col(count) * F.col(mean), F.col(dev)), F.lit(0.0))
+    def score(side: str) -> Column:
+        return F.coalesce(F.try_divide(F.col(f"s{side}") - F.col(f"n{side}") * F.col(f"m{side}"), F.col(f"d{side}")), F.lit(0.0))
 
-    return bins.join(stats, PAIR).select(
-        *FIT, "first_ts", "bin", score("x", "nx", "mx", "sx").alias("x"), score("y", "ny", "my", "sy").alias("y")
-    )
+    scored = wide.join(pair_scales(bins), ["first", "second"]).withColumn("zx", score("x")).withColumn("zy", score("y"))
+    sign = -1.0 if flip_leader else 1.0
+    ways = [
+        F.struct(F.col(a).alias("leader"), F.col(b).alias("follower"), (F.col(x) * sign).alias("x"), F.col(y).alias("y"))
+        for a, b, x, y in (("first", "second", "zx", "zy"), ("second", "first", "zy", "zx"))
+    ]
+    return scored.select("interval", "first_ts", "bin", F.inline(F.array(*ways))).select(*FIT, "first_ts", "bin", "x", "y")
 
 
 def lagged_rows(bins: DataFrame) -> DataFrame:
@@ -88,7 +113,7 @@ def lagged_rows(bins: DataFrame) -> DataFrame:
     )
 
 
-def regress(rows: DataFrame) -> DataFrame:
+def regress(rows: DataFrame, perfect_fit: float = PERFECT_FIT) -> DataFrame:
     """One least-squares fit without intercept per (pair, interval, lag)."""
     sums = [F.count("*").alias("n"), F.sum(F.col("y") * F.col("y")).alias("syy")]
     for k in LAGS:
@@ -109,7 +134,7 @@ def regress(rows: DataFrame) -> DataFrame:
     )
     beta = F.try_divide("sxy", "sxx")
     left = F.col("syy") - F.col("beta") * F.col("sxy")
-    residual = F.when(left > PERFECT_FIT * F.col("syy"), left).when(left.isNotNull(), F.lit(0.0))
+    residual = F.when(left > perfect_fit * F.col("syy"), left).when(left.isNotNull(), F.lit(0.0))
     variance = F.try_divide(residual, F.col("n") - 1)
     return (
         rows.groupBy(*FIT)
@@ -121,14 +146,20 @@ def regress(rows: DataFrame) -> DataFrame:
     )
 
 
-def lead_lag(series: DataFrame, intervals: list[int], flip_leader: bool = True) -> DataFrame:
+def lead_lag(
+    series: DataFrame, intervals: list[int], flip_leader: bool = True, pairs: DataFrame | None = None, blocks: int = 1,
+    perfect_fit: float = PERFECT_FIT,
+) -> DataFrame:
     """Coefficients and t statistics for each ordered symbol pair, interval (seconds) and lag.
 
-    Lags count even steps across midnights, so an interval must divide a day.
+    ``pairs`` (see ``pairing.pair_list``) chooses pairs, each in both directions; by default all are taken, split over
+    ``blocks`` of symbols. A residual of less than ``perfect_fit`` of the squared total counts as 0. Lags count even
+    steps across midnights, so an interval must divide a day.
     """
     if odd := [s for s in intervals if DAY_S % s]:
         raise ValueError(f"intervals must divide {DAY_S} seconds, got {odd}")
-    return regress(lagged_rows(standardized_bins(joined_returns(series, flip_leader), intervals)))
+    bins = pair_bins(series if pairs is None else symbols_of(series, pairs), gcd(*intervals), pairs, blocks)
+    return regress(lagged_rows(standardized_bins(bins, intervals, flip_leader)), perfect_fit)
 
 
 def with_p_value(fits: DataFrame) -> DataFrame:

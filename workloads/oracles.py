@@ -888,6 +888,12 @@ select leader, follower, cast(interval as bigint) as interval, cast(lag as bigin
     table = ", ".join(
         r(f"max(beta) filter (where lag = {k})", f"t_{'minus' if k > 5 else 'plus'}_{abs(5 - k)}") for k in range(11)
     )
+    chosen = "(least(a, b), greatest(a, b)) in (('btcusd', 'usdtusd'), ('btcusdt', 'usdtusd'))"
+    q["lead_lag_chosen_pairs"] = with_(*CLEAN, *lead_lag_ctes([21_600])) + f"""
+select leader, follower, cast(interval as bigint) as interval, cast(lag as bigint) as lag, {LABEL} as label, n,
+  {r('-beta', 'beta')}, {r('-t_statistic', 't_statistic', digits=5)}, {r(p_value('t_statistic', '(n - 1)'), 'p_value')} from fits
+where {chosen.replace('(a, b)', '(leader, follower)')}"""
+    q["cross_pair_chosen_pairs"] = q["cross_pair_correlation"] + f" where {chosen.replace('(a, b)', '(first, second)')}"
     q["lead_lag_table"] = with_(*CLEAN, *lead_lag_ctes([21_600])) + f"""
 select leader, follower, cast(interval as bigint) as interval, {table} from fits group by leader, follower, interval"""
 

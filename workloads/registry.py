@@ -15,6 +15,7 @@ from tickloom.operators import correlation as corr
 from tickloom.operators import leadlag
 from tickloom.operators.cleaning import DayRule, RangeRule, day_rules, outlier_filter, range_rules
 from tickloom.operators.descriptive import describe
+from tickloom.operators.pairing import pair_list, symbol_blocks
 from tickloom.operators.rates import PairRates
 from tickloom.operators.triangle import Triangle
 from tickloom.plans import intraday, monthly, order_book, reports, triangulation, zero_fill
@@ -36,6 +37,7 @@ PAIRS = [
     PairRates("usdtusd", "usdusd", "usdtusd"),
 ]
 SYMBOLS = [p.symbol for p in PAIRS]
+CHOSEN_PAIRS = [("usdtusd", "btcusd"), ("btcusdt", "usdtusd")]
 TRIANGLES = [Triangle("btcusdt", "btcusd", "usdtusd")]
 DAY_RULES = [DayRule("btcusd", "2024-01-15")]
 RANGE_RULES = [RangeRule("usdtusd", "avg_price", 1.001, 1.02), RangeRule("btcusdt", "avg_price", None, 105.0)]
@@ -422,7 +424,7 @@ def intra_pair_correlation(spark, sf):
 @query
 def cross_pair_correlation(spark, sf):
     clean = stage(_clean_series(spark, sf), "clean")
-    return comparable(corr.with_significance(corr.cross_pair(clean, BUCKET)), t_statistic=5)
+    return comparable(corr.with_significance(corr.cross_pair(clean, BUCKET, blocks=symbol_blocks(clean))), t_statistic=5)
 
 
 @query
@@ -433,7 +435,22 @@ def measure_matrix(spark, sf):
 @query
 def lead_lag(spark, sf):
     clean = stage(_clean_series(spark, sf), "clean")
-    return comparable(leadlag.with_p_value(leadlag.lead_lag(clean, [BUCKET, 43_200])), t_statistic=5)
+    return comparable(leadlag.with_p_value(leadlag.lead_lag(clean, [BUCKET, 43_200], blocks=symbol_blocks(clean))), t_statistic=5)
+
+
+@query
+def lead_lag_chosen_pairs(spark, sf):
+    """Leads and lags of the chosen pairs alone, in both directions."""
+    clean = stage(_clean_series(spark, sf), "clean")
+    chosen = pair_list(spark, CHOSEN_PAIRS)
+    return comparable(leadlag.with_p_value(leadlag.lead_lag(clean, [BUCKET], flip_leader=False, pairs=chosen)), t_statistic=5)
+
+
+@query
+def cross_pair_chosen_pairs(spark, sf):
+    clean = stage(_clean_series(spark, sf), "clean")
+    chosen = pair_list(spark, CHOSEN_PAIRS)
+    return comparable(corr.with_significance(corr.cross_pair(clean, BUCKET, pairs=chosen)), t_statistic=5)
 
 
 @query
