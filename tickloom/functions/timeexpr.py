@@ -41,6 +41,15 @@ def raster_starts(day: Column, first_ms: int, end_ms: int, step_ms: int) -> Colu
     return F.when(low <= high, F.sequence(low, high, F.lit(step_ms).cast("long"))).otherwise(F.array().cast("array<bigint>"))
 
 
+def raster_cells(first_ms: int, end_ms: int, step_ms: int) -> int:
+    """The number of bucket starts in ``[first_ms, end_ms)``."""
+
+    def before(ms: int) -> int:  # since the epoch's midnight
+        return ms // DAY_MS * -(-DAY_MS // step_ms) + -(-(ms % DAY_MS) // step_ms)
+
+    return max(before(end_ms) - before(first_ms), 0)
+
+
 def bucket_s_to_ms(second: Column, seconds: int) -> Column:
     return bucket_s(second, seconds) * 1000
 

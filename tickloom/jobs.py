@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from tickloom.operators import correlation, leadlag, pairing
 from tickloom.operators.rates import PairRates, check_pairs
 from tickloom.operators.triangle import Triangle
-from tickloom.functions.timeexpr import day_arg_to_ms
-from tickloom.operators.grid import in_period
 from tickloom.plans import intraday, monthly, order_book, reports, trades, triangulation, zero_fill
 from tickloom.session import build_session, stage, staging_run
 from tickloom.sources import generators, readers, schemas, writers
@@ -122,32 +120,31 @@ def parity_rate(c: Context) -> None:
 
 @job("monthly-measures", BARS, RATES, PAIRS)
 def monthly_measures(c: Context) -> None:
-    bars, rates, pairs = c.bars(), c.rates(), c.pairs()
+    states, rates, pairs = monthly.pair_states(c.bars()), c.rates(), c.pairs()
     writers.write_report(
-        monthly.monthly_measures(bars, rates, pairs), c.path("monthly_arbitrage_measures"), "symbol", "year_month"
+        monthly.measures_of(states, rates, pairs), c.path("monthly_arbitrage_measures"), "symbol", "year_month"
     )
-    writers.write_parts(monthly.monthly_statistics(bars, rates, pairs), c.path("statistics"))
+    daily = monthly.daily_profit_and_volume(states, rates, pairs)
+    writers.write_parts(monthly.statistics_of(states, daily), c.path("statistics"))
 
 
 @job("monthly-measures-usd-pair", BARS, RATES)
 def monthly_measures_usd_pair(c: Context) -> None:
-    bars, rates = c.bars(), c.rates()
+    states, rates = monthly.usd_pair_states(c.bars()), c.rates()
     writers.write_report(
-        monthly.monthly_measures_usd_pair(bars, rates), c.path("monthly_arbitrage_measures"), "symbol", "year_month"
+        monthly.usd_measures_of(states, rates), c.path("monthly_arbitrage_measures"), "symbol", "year_month"
     )
-    writers.write_parts(monthly.monthly_statistics_usd_pair(bars, rates), c.path("statistics"))
+    writers.write_parts(monthly.statistics_of(states, monthly.daily_volume_own_rate(states, rates)), c.path("statistics"))
 
 
 @job("zero-filled-stats", BARS, *PERIOD, MINUTES)
 def zero_filled_stats(c: Context) -> None:
     a, step = c.args, f"{c.args.minutes}m"
-    series = zero_fill.return_series(c.bars(), a.minutes * 60)
-    series = stage(in_period(series, "start_ts", day_arg_to_ms(a.first), day_arg_to_ms(a.last)), "series")
-    filled = stage(zero_fill.zero_filled_series(series, a.first, a.last, a.minutes * 60), "filled")
-    writers.write_parts(zero_fill.zero_filled_statistics(series, filled), c.path("statistics", step))
-    writers.write_report(
-        zero_fill.monthly_volatility(filled), c.path("monthly_arbitrage_volatility", step), "symbol", "year_month"
-    )
+    series = stage(zero_fill.return_series(c.bars(), a.minutes * 60), "series")
+    period = (a.first, a.last, a.minutes * 60)
+    writers.write_parts(zero_fill.sparse_statistics(series, *period), c.path("statistics", step))
+    volatility = zero_fill.sparse_monthly_volatility(series, *period)
+    writers.write_report(volatility, c.path("monthly_arbitrage_volatility", step), "symbol", "year_month")
 
 
 @job("intraday-breakdown", BARS, RATES, PAIRS, *PERIOD, MINUTES)

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import measures as m
 from tickloom.functions import spreads as sp
-from tickloom.functions.timeexpr import bucket_s_to_ms, day_arg_to_ms, day_of_ms, month_of_ms
+from tickloom.functions.timeexpr import DAY_MS, bucket_ms, bucket_s_to_ms, day_arg_to_ms, day_of_ms, month_of_day, month_of_ms, raster_cells
+from tickloom.operators import moments
 from tickloom.operators.cleaning import PRICE_RANGES, day_rules, outlier_filter, range_rules
 from tickloom.operators.descriptive import describe
 from tickloom.operators.grid import fill_with_symbol_mean, in_period, on_grid, zero_fill
 
 FILLED = ["return", "logreturn", "total_number_of_trades"]
+ANNUALIZED = "annualized_daily_volatility_logreturns"
 
 
 def cleaned_bars(bars: DataFrame, seconds: int) -> DataFrame:
@@ -72,7 +74,60 @@ def monthly_volatility(filled: DataFrame) -> DataFrame:
     )
 
 
+# The same figures from the rows there are: an empty cell of the grid adds a zero, so it need not be made ------------------
+
+
+def present_rows(series: DataFrame, first_day: str, end_day: str, seconds: int) -> DataFrame:
+    """Rows of ``series`` that the grid of the period would hold, with 0 for null and NaN returns and counts."""
+    inside = in_period(series, "start_ts", day_arg_to_ms(first_day), day_arg_to_ms(end_day))
+    return zero_fill(inside.where(F.col("start_ts") == bucket_ms(F.col("start_ts"), seconds)), FILLED)
+
+
+def daily_squares(present: DataFrame) -> DataFrame:
+    """Sum of squared returns of every day that has a row."""
+    return present.groupBy(day_of_ms(F.col("start_ts")).alias("day"), "symbol").agg(
+        m.realized_variance(F.col("logreturn")).alias("variance")
+    )
+
+
+def sparse_statistics(series: DataFrame, first_day: str, end_day: str, seconds: int) -> DataFrame:
+    """The statistics of :func:`zero_filled_statistics` for the series and its zero-filled grid, without the grid.
+
+    ``series`` is read twice; pass a table.
+    """
+    first, end = day_arg_to_ms(first_day), day_arg_to_ms(end_day)
+    present = present_rows(series, first_day, end_day, seconds)
+    states = present.groupBy("symbol").agg(
+        *moments.state(F.col("avg_price"), "avg_price"), *[c for name in FILLED for c in moments.state(F.col(name), name)]
+    )
+    for name in FILLED:
+        states = moments.with_zeros(states, name, F.lit(raster_cells(first, end, seconds * 1000)))
+    days = daily_squares(present).withColumn(ANNUALIZED, F.lit(sqrt(365)) * F.sqrt("variance"))
+    daily = days.groupBy("symbol").agg(*moments.state(F.col(ANNUALIZED), ANNUALIZED))
+    daily = moments.with_zeros(daily, ANNUALIZED, F.lit(raster_cells(first, end, DAY_MS)))
+    return moments.statistics(states, ["avg_price", *FILLED]).unionByName(moments.statistics(daily, [ANNUALIZED]))
+
+
+def sparse_monthly_volatility(series: DataFrame, first_day: str, end_day: str, seconds: int) -> DataFrame:
+    """:func:`monthly_volatility` of the zero-filled series, without the grid: months without a row have none.
+
+    ``series`` is read twice; pass a table.
+    """
+    first, end = day_arg_to_ms(first_day), day_arg_to_ms(end_day)
+    present = present_rows(series, first_day, end_day, seconds)
+    starts = F.sequence(F.lit(first), F.lit(max(end - 1, first)), F.lit(DAY_MS))
+    months = F.explode(F.array_distinct(F.transform(starts, month_of_ms))).alias("year_month")
+    every = present.select("symbol").distinct().select("symbol", months)  # symbols times months
+    squares = daily_squares(present).groupBy(month_of_day(F.col("day")).alias("year_month"), "symbol").agg(F.sum("variance").alias("variance"))
+    volatility = F.sqrt(F.coalesce("variance", F.lit(0.0)))
+    return every.join(squares, ["year_month", "symbol"], "left").select(
+        "year_month", "symbol", volatility.alias("monthly_volatility_logreturns"),
+        (F.lit(sqrt(12)) * volatility).alias("annualized_monthly_volatility_logreturns"),
+    )
+
+
 def zero_filled_statistics(series: DataFrame, filled: DataFrame) -> DataFrame:
+    """Statistics of a series and of its filled grid, where that is at hand; else see :func:`sparse_statistics`."""
     return (
         describe(series, ["avg_price"])
         .unionByName(describe(filled, FILLED))

@@ -226,16 +226,16 @@ def monthly_statistics_usd_pair(spark, sf):
     return comparable(monthly.monthly_statistics_usd_pair(_hist_bars(spark, sf), _hist_rates(spark, sf), DAY))
 
 
-def _hist_zero_filled(spark, sf):
-    series = stage(zero_fill.return_series(_hist_bars(spark, sf), DAY), "series")
-    return zero_fill.zero_filled_series(series, HIST_FIRST_DAY, HIST_END_DAY, DAY)
+def _hist_volatility(spark, sf, bars):
+    series = stage(zero_fill.return_series(bars, DAY), "series")
+    return zero_fill.sparse_monthly_volatility(series, HIST_FIRST_DAY, HIST_END_DAY, DAY)
 
 
 @query
 def combined_monthly(spark, sf):
-    measures = monthly.monthly_measures(_hist_bars(spark, sf), _hist_rates(spark, sf), PAIRS, DAY)
-    volatility = zero_fill.monthly_volatility(_hist_zero_filled(spark, sf))
-    combined = monthly.combine_monthly(measures, volatility)
+    bars = _hist_bars(spark, sf)
+    measures = monthly.monthly_measures(bars, _hist_rates(spark, sf), PAIRS, DAY)
+    combined = monthly.combine_monthly(measures, _hist_volatility(spark, sf, bars))
     return comparable(
         combined.select(
             "year_month", "symbol", "avg_price", "arbitrage_profit_in_usd", "monthly_volatility_logreturns",
@@ -277,8 +277,7 @@ def zero_filled_series(spark, sf):
 
 @query
 def zero_filled_statistics(spark, sf):
-    series, filled = _filled(spark, sf)
-    return comparable(zero_fill.zero_filled_statistics(series, stage(filled, "filled")))
+    return comparable(zero_fill.sparse_statistics(_series(spark, sf), FIRST_DAY, END_DAY, BUCKET))
 
 
 @query
@@ -288,7 +287,7 @@ def realized_volatility_daily(spark, sf):
 
 @query
 def realized_volatility_monthly(spark, sf):
-    return comparable(zero_fill.monthly_volatility(_hist_zero_filled(spark, sf)))
+    return comparable(_hist_volatility(spark, sf, _hist_bars(spark, sf)))
 
 
 # intraday ---------------------------------------------------------------------------------------
