@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import argparse
 import json
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from tickloom.operators.rates import PairRates, check_pairs
 from tickloom.operators.triangle import Triangle
 from tickloom.plans import intraday, monthly, order_book, reports, trades, triangulation, zero_fill
 from tickloom.session import build_session, stage, staging_run
-from tickloom.sources import generators, readers, schemas, writers
+from tickloom.sources import generators, readers, schemas, store, writers
 
 JOBS = {}
 
@@ -53,26 +54,48 @@ PAIR_CHOICE = (
 class Context:
     def __init__(self, spark: SparkSession, args: argparse.Namespace, name: str):
         self.spark, self.args, self.name = spark, args, name
+        if args.format != "store" and (args.select or args.months_range):
+            raise ValueError("--select and --months-range need --format store")
 
     def table(self, paths: list[str], schema) -> DataFrame:
-        return readers.read_table(self.spark, paths, schema, self.args.format)
+        """The files behind ``paths``, or the selected part of a store."""
+        if self.args.format != "store":
+            return readers.read_table(self.spark, paths, schema, self.args.format)
+        (kind,) = [name for name, k in store.KINDS.items() if k.schema == schema] or [None]
+        if kind is None:
+            return readers.read_table(self.spark, paths, schema, "parquet")
+        first, last = self.args.months_range or (None, None)
+        selections = [store.Selection(s, first, last) for s in self.args.select or [None]]
+        parts = [store.read(self.spark, path, kind, selections) for path in paths]
+        return reduce(DataFrame.union, parts)
+
+    def provider(self, paths: list[str], read) -> DataFrame:
+        """Raw provider files; with ``--tolerate-corrupt`` those that break off are taken as far as they go, and listed."""
+        if not self.args.tolerate_corrupt:
+            return read(False)
+        account = readers.file_account(self.spark, paths).where("not complete")
+        writers.write_report(account, self.path("incomplete_files"), "path")
+        return read(True)
 
     def trades(self) -> DataFrame:
-        return self.table(self.args.trades, schemas.TRADES)
+        if self.args.format == "store":
+            return self.table(self.args.trades, schemas.TRADES)
+        paths = self.args.trades
+        return self.provider(paths, lambda tolerate: readers.read_trades(self.spark, paths, self.args.format, tolerate))
+
+    def book(self) -> DataFrame:
+        if self.args.format == "store":
+            return self.table(self.args.book, store.KINDS["book"].schema)
+        paths, symbol = self.args.book, self.args.symbol
+        return self.provider(paths, lambda tolerate: readers.read_order_book(self.spark, paths, symbol, self.args.format, tolerate))
 
     def bars(self) -> DataFrame:
+        if self.args.format == "csv":
+            return readers.read_arbitrage(self.spark, self.args.bars)
         return self.table(self.args.bars, schemas.ARBITRAGE)
 
     def rates(self) -> DataFrame:
-        """Daily prices and parity rates have different columns, so only the shared ones are read by name."""
-        frames = []
-        for path in self.args.rates:
-            frame = self.spark.read.option("header", True).format(self.args.format).load(path)
-            frames.append(frame.select("day", "symbol", F.col("average_daily_price").cast("double")))
-        result = frames[0]
-        for frame in frames[1:]:
-            result = result.unionByName(frame)
-        return result.select(F.substring(F.col("day").cast("string"), 1, 10).alias("day"), "symbol", "average_daily_price")
+        return readers.read_rates(self.spark, self.args.rates, "parquet" if self.args.format == "store" else self.args.format)
 
     def pairs(self) -> list[PairRates]:
         return check_pairs([PairRates(*entry) for entry in json.loads(self.args.pairs)])
@@ -162,8 +185,7 @@ def intraday_breakdown(c: Context) -> None:
     arg("--symbol", help="of all snapshots; by default taken from each file's path"), arg("--thin-book", default="extend"),
 )
 def order_book_series(c: Context) -> None:
-    book = readers.read_order_book(c.spark, c.args.book, c.args.symbol, c.args.format)
-    series = order_book.order_book_series(book, c.bars(), 60, c.args.thin_book)
+    series = order_book.order_book_series(c.book(), c.bars(), 60, c.args.thin_book)
     writers.write_sorted(series, c.path("order_book_and_trades", "1m"), "start_ts_ob", "symbol")
 
 
@@ -326,6 +348,52 @@ def statistics_tables(c: Context) -> None:
     writers.write_report(reports.statistics_report(statistics), c.path("statistics_report"), "type", "position")
 
 
+@job(
+    "store", arg("--kind", required=True, choices=sorted(store.KINDS)), arg("--input", required=True, nargs="+", help="files or globs"),
+    arg("--symbol", help="of order-book snapshots; by default taken from each file's path"),
+)
+def fill_store(c: Context) -> None:
+    """Add files to a store; the months they hold replace what the store had of them."""
+    a = c.args
+    if a.kind in ("trades", "book"):
+        a.trades = a.book = a.input
+        table = c.trades() if a.kind == "trades" else c.book()
+    else:
+        table = c.table(a.input, store.KINDS[a.kind].schema)
+    store.write(table, a.store or c.path(f"store_{a.kind}"), a.kind)
+
+
+#: Results that runs are combined of: schema, and the columns that name a row.
+RESULTS = {
+    "monthly-measures": (schemas.MONTHLY_MEASURES, ["year_month", "symbol"]),
+    "monthly-volatility": (schemas.MONTHLY_VOLATILITY, ["year_month", "symbol"]),
+    "triangle-monthly": (schemas.TRIANGLE_MONTHLY, ["year_month", "symbol"]),
+    "daily-price": (schemas.DAILY_PRICE, ["day", "symbol"]),
+    "statistics": (schemas.STATISTICS, ["type", "symbol"]),
+    "intra-correlations": (schemas.INTRA_CORRELATIONS, ["symbol", "first", "second"]),
+    "cross-correlations": (schemas.CROSS_CORRELATIONS, ["measure", "first", "second"]),
+    "intraday-breakdown": (schemas.INTRADAY_BREAKDOWN, ["start_minute_of_day", "symbol"]),
+    "bars": (schemas.ARBITRAGE, ["start_second", "symbol"]),
+    "book-series": (schemas.BOOK_SERIES, ["start_ts_ob", "symbol"]),
+    "clean-series": (schemas.CLEAN_SERIES, ["start_ts_ob", "symbol"]),
+}
+
+
+@job(
+    "combine-runs", arg("--table", required=True, choices=sorted(RESULTS)),
+    arg("--runs", required=True, nargs="+", help="result folders or globs; columns a run lacks are null"),
+    arg("--all-runs", action="store_true", help="keep every run's rows; by default the newest run's of each key"),
+    arg("--parts", action="store_true", help="write gzip parts in order, for large tables; by default one CSV file"),
+)
+def combine_runs(c: Context) -> None:
+    """The results of many runs as one table, with the stamp of the run each row is from."""
+    a, (schema, keys) = c.args, RESULTS[c.args.table]
+    runs = readers.read_stamped(c.spark, a.runs, schema, keys, a.format)
+    table = runs if a.all_runs else readers.newest(runs, keys)
+    path = c.path(f"combined_{a.table.replace('-', '_')}")
+    (writers.write_sorted if a.parts else writers.write_report)(table, path, *keys, "run")
+
+
 def parser() -> argparse.ArgumentParser:
     root = argparse.ArgumentParser(prog="tickloom.jobs", description=__doc__)
     jobs = root.add_subparsers(dest="job", required=True)
@@ -335,7 +403,11 @@ def parser() -> argparse.ArgumentParser:
             sub.add_argument(*names, **options)
         sub.add_argument("--out", required=True)
         sub.add_argument("--label", default="all", help="pair or set of pairs, for the output name")
-        sub.add_argument("--format", choices=("csv", "parquet"), default="csv")
+        sub.add_argument("--format", choices=("csv", "parquet", "store"), default="csv", help="of the tables read; store: as the job store writes")
+        sub.add_argument("--select", nargs="+", metavar="SYMBOL", help="read only these symbols of a store")
+        sub.add_argument("--months-range", nargs=2, metavar="YYYY-MM", help="read only these months (first and last) of a store")
+        sub.add_argument("--tolerate-corrupt", action="store_true", help="take raw files that break off as far as they go, and list them")
+        sub.add_argument("--store", help="folder of the store that the job store fills")
         sub.add_argument("--master", default=None)
     return root
 

@@ -52,6 +52,11 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def staging_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of the current run's staged tables."""
+    return f"{_staging_dir(spark)}/{_RUN.get()}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -60,7 +65,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     compares with the broadcast threshold.
     """
     spark = df.sparkSession
-    path = f"{_staging_dir(spark)}/{_RUN.get()}/{name}-{uuid.uuid4().hex}"
+    path = staging_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

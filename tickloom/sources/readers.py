@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +38,96 @@ def skipped_files(spark: SparkSession, path: str | list[str], schema: T.StructTy
     return listed.join(read, "path", "left_anti")
 
 
+def _file() -> Column:
+    return F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
+
+
+def file_account(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """What a tolerant scan of CSV(.gz) files takes of each: path, rows, bytes_read, bytes_expected, complete.
+
+    A file that breaks off gives its rows up to there and is not complete. Bytes are those of the unpacked text; a gzip
+    file tells their number modulo 2^32 in its last four bytes (of its last member, where there are several: such a
+    file counts as incomplete). Rows are lines with content but the header. Files of no length are not listed.
+    """
+    lines = spark.read.option("ignoreCorruptFiles", "true").option("lineSep", "\n").text(path)
+    full = F.length(F.trim(F.translate("value", "\r", ""))) > 0
+    taken = lines.groupBy(_file().alias("path")).agg(
+        F.greatest(F.count_if(full) - 1, F.lit(0)).alias("rows"), F.sum(F.octet_length("value").cast("long") + 1).alias("bytes_read")
+    )
+    last = lambda i: F.conv(F.hex(F.substring("content", -i, 1)), 16, 10).cast("long")
+    told = reduce(lambda a, b: a * 256 + b, [last(i) for i in (1, 2, 3, 4)])
+    name = F.regexp_replace("path", "^file:/+", "/").alias("path")
+    packed = F.col("path").endswith(".gz")
+    size = F.when(~packed, F.col("length")).when(F.col("length") >= 18, told).otherwise(F.lit(-1))
+    files = spark.read.format("binaryFile").load(path).select(name, packed.alias("packed"), size.alias("bytes_expected"))
+    read = F.when(F.col("packed"), F.pmod("bytes_read", F.lit(1 << 32))).otherwise(F.col("bytes_read"))
+    # the last line may end without a line feed
+    whole = (read == F.col("bytes_expected")) | (read == F.col("bytes_expected") + 1)
+    return files.join(taken, "path", "left").select(
+        "path", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("bytes_read", F.lit(0)).alias("bytes_read"), "bytes_expected",
+        F.coalesce(whole, F.lit(False)).alias("complete"),
+    )
+
+
+def _named_columns(frame: DataFrame, schema: T.StructType, required: list[str]) -> list[Column]:
+    if lost := [n for n in required if n not in frame.columns]:
+        raise ValueError(f"columns {lost} are missing where the header is {frame.columns}")
+    return [(F.col(f"`{f.name}`") if f.name in frame.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]
+
+
+def read_named(
+    spark: SparkSession, path: str | list[str], schema: T.StructType, required: list[str], fmt: str = "csv", **more: Column
+) -> DataFrame:
+    """One typed table from files with different headers: columns are bound by name, and absent ones are null.
+
+    A file without one of the ``required`` columns is an error, unknown columns are left out. After a look at the first
+    lines, CSV files are read once for each different header, however many files there are. ``more``: further columns,
+    from ``_metadata``.
+    """
+    extra = [c.alias(n) for n, c in more.items()]
+    if fmt != "csv":
+        frame = spark.read.option("mergeSchema", True).format(fmt).load(path)
+        return frame.select(*_named_columns(frame, schema, required), *extra)
+    kinds = {f.name: f.dataType for f in schema.fields}
+    file = F.col("_metadata.file_path")
+    lines = spark.read.text(path).where(F.col("_metadata.file_block_start") == 0).select(file.alias("file"), F.monotonically_increasing_id().alias("at"), "value")
+    headers: dict[str, list[str]] = {}
+    for row in lines.groupBy("file").agg(F.min_by("value", "at").alias("header")).collect():  # one short row per file
+        headers.setdefault(row["header"].strip(), []).append(row["file"])
+    if not headers:
+        raise ValueError(f"nothing to read under {path}")
+    parts = []
+    for header, files in sorted(headers.items()):
+        typed = T.StructType([T.StructField(n, kinds.get(n, T.StringType())) for n in next(csv.reader([header]))])
+        reader = spark.read.schema(typed).option("header", True).option("enforceSchema", False).option("timestampFormat", INSTANT_FORMAT)
+        frame = reader.csv(sorted(files))
+        parts.append(frame.select(*_named_columns(frame, schema, required), *extra))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def read_rates(spark: SparkSession, path: str | list[str], fmt: str = "csv") -> DataFrame:
+    """Daily prices and parity rates, whatever other columns they have."""
+    rates = read_named(spark, path, schemas.PARITY_RATE, schemas.PARITY_RATE.names, fmt)
+    return rates.withColumn("day", F.substring("day", 1, 10))
+
+
+#: ``run_name``'s time stamp at the beginning of a run's folder.
+RUN_STAMP = r"/(\d{4}-\d\d-\d\d__\d\d-\d\d-\d\d)_[^/]*/[^/]*$"
+
+
+def read_stamped(spark: SparkSession, paths: list[str], schema: T.StructType, required: list[str], fmt: str = "csv") -> DataFrame:
+    """The tables of many runs, bound by name, with ``run``: the stamp of the run's folder ("" where there is none)."""
+    run = F.regexp_extract(F.col("_metadata.file_path"), RUN_STAMP, 1)
+    return read_named(spark, paths, schema, required, fmt, run=run)
+
+
+def newest(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key: that of the newest run, and the greatest row where a run holds several."""
+    rest = [c for c in runs.columns if c not in {*keys, "run"}]
+    best = runs.groupBy(*keys).agg(F.max(F.struct("run", *rest)).alias("_row"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in runs.columns])
+
+
 def read_trades(spark, path, fmt="csv", tolerate_corrupt=False):
     return read_table(spark, path, schemas.TRADES, fmt, tolerate_corrupt)
 
@@ -51,7 +144,9 @@ def read_order_book(spark, path, symbol: str | None = None, fmt="csv", tolerate_
 
 
 def read_arbitrage(spark, path, fmt="csv"):
-    return read_table(spark, path, schemas.ARBITRAGE, fmt)
+    """Bars. Where an instant has no quote the exchange is the empty name, which CSV files can't tell from null."""
+    bars = read_table(spark, path, schemas.ARBITRAGE, fmt)
+    return bars.na.fill("", ["exchange_of_min_price_trades_ask", "exchange_of_max_price_trades_bid"])
 
 
 def read_daily_price(spark, path, fmt="csv"):

@@ -929,6 +929,34 @@ from tri_measures"""
     q["triangle_summary"] = (
         with_(*TRI_MONTHLY) + summary("tri_measures", "sell") + " union all " + summary("tri_measures", "buy")
     )
+    q["trades_files"] = with_(duckdb_view("fx_trades")) + f"""
+select id, exchange, symbol, date, {rs('price', 'amount')}, sell from fx_trades"""
+    q["arbitrage_files"] = with_(*NOW_BARS, f"shown as ({BAR_SELECT})") + " select shown.*, copy from shown, (values ('csv'), ('csv.gz')) v(copy)"
+    q["book_series_files"] = q["order_book_series"]
+    q["time_grid_files"] = q["time_grid_coverage"]
+    daily_price = f"""select {day('date')} as day, symbol, count(*) as number_of_trades, sum(amount) as total_amount,
+      sum(price * amount) / sum(amount) as average_daily_price"""
+    q["rates_by_name"] = with_(duckdb_view("fx_trades_hist")) + f"""
+select day, symbol, {r('average_daily_price')} from ({daily_price} from fx_trades_hist group by all)
+union all select strftime(unnest({HIST_DAYS}), '%Y-%m-%d'), 'usdusd', 1.0::double"""
+    late = "day >= '1998'"
+    q["combined_runs"] = with_(duckdb_view("fx_trades_hist")) + f"""
+select day, symbol, number_of_trades, {r(f"case when {late} then null else total_amount end", 'total_amount')},
+  {r(f"average_daily_price * case when {late} then 2 else 1 end", 'average_daily_price')},
+  case when {late} then '2021-05-06__07-08-09' else '2020-05-06__07-08-09' end as run
+from ({daily_price} from fx_trades_hist group by all)"""
+    q["file_accounts"] = with_(duckdb_view("fx_trades")) + "select count(*) as number_of_trades, 0::bigint as incomplete_files from fx_trades"
+    q["store_selection"] = with_(duckdb_view("fx_trades_hist")) + f"""
+select day, symbol, number_of_trades, {rs('total_amount', 'average_daily_price')} from ({daily_price} from fx_trades_hist
+where (symbol = 'btcusd' and {month('date')} between '1996-01' and '1996-06')
+  or (symbol = 'usdtusd' and {month('date')} >= '2000-10') group by all)"""
+    q["book_store"] = q["order_book_top"]
+    q["spread_caps"] = with_(*snapshot_ctes("fx_book_capped", 21_600)) + f"""
+select symbol, start_ts, {rs('best_bid', 'best_ask', 'bid_ask_spread', 'midpoint_ob')} from top
+where bid_ask_spread < case symbol when 'btcdai' then 1000.0 else 1.0 end"""
+    q["period_by_arguments"] = with_(duckdb_view("fx_trades")) + f"""
+select {day('date')} as day, symbol, count(*) as number_of_trades, '2024-01-20' as end_day from fx_trades
+where date >= epoch_ms(timestamp '2024-01-05 04:30:00.25') and date < epoch_ms(timestamp '2024-01-20') group by all"""
     q["constant_columns"] = with_(duckdb_view("fx_trades")) + f"""
 select symbol, {day('date')} as day, count(*) as number_of_trades from fx_trades group by all"""
     return q

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,14 +14,16 @@ from tickloom.operators import bars as bar_ops
 from tickloom.operators import book as ob
 from tickloom.operators import correlation as corr
 from tickloom.operators import leadlag
-from tickloom.operators.cleaning import DayRule, RangeRule, day_rules, outlier_filter, range_rules
+from tickloom.operators.cleaning import SPREAD_CAPS, DayRule, RangeRule, day_rules, outlier_filter, range_rules
 from tickloom.operators.descriptive import describe
+from tickloom.operators.grid import in_period
 from tickloom.operators.pairing import pair_list, symbol_blocks
 from tickloom.operators.rates import PairRates
 from tickloom.operators.triangle import Triangle
 from tickloom.plans import intraday, monthly, order_book, reports, triangulation, zero_fill
 from tickloom.plans.trades import daily_average_price, trades_arbitrage
-from tickloom.session import stage
+from tickloom.session import stage, staging_path
+from tickloom.sources import readers, schemas, store, writers
 from tickloom.sources.generators import parity_rate, time_grid
 from tickloom.functions.spreads import clipped_return, price_is_known
 from workloads.views import comparable, spark_view
@@ -509,6 +512,112 @@ def triangle_summary(spark, sf):
     return comparable(sides[0].unionByName(sides[1]))
 
 
+# files and stores -------------------------------------------------------------------------------
+
+
+@query
+def trades_files(spark, sf):
+    """All trades after a way through sorted gzip CSV parts."""
+    path = staging_path(spark, "trades-csv")
+    writers.write_sorted(_trades(spark, sf).select(*schemas.TRADES.names), path, "date", "id")
+    return comparable(readers.read_trades(spark, path))
+
+
+@query
+def arbitrage_files(spark, sf):
+    """The bars after a way through gzip parts, and through the single-file copy made of these."""
+    path = staging_path(spark, "bars")
+    writers.write_twice(_bars(spark, sf), f"{path}.csv.gz", f"{path}.csv", "start_second", "symbol")
+    copies = [readers.read_arbitrage(spark, f"{path}.{end}").withColumn("copy", F.lit(end)) for end in ("csv.gz", "csv")]
+    return comparable(copies[0].unionByName(copies[1]))
+
+
+@query
+def book_series_files(spark, sf):
+    path = staging_path(spark, "series")
+    writers.write_parts(_pair_series(spark, sf), path, gzip=True)
+    return comparable(readers.read_book_series(spark, path))
+
+
+@query
+def time_grid_files(spark, sf):
+    """As ``time_grid_coverage``, with the grid read from its files."""
+    path = staging_path(spark, "grid")
+    writers.write_parts(time_grid(spark, FIRST_DAY, END_DAY, 60), path, gzip=True)
+    counts = _trades(spark, sf).groupBy(tx.bucket_ms(F.col("date"), 3600).alias("start")).agg(
+        F.count("*").alias("number_of_trades")
+    )
+    return comparable(readers.read_time_grid(spark, path).join(counts, "start", "left"))
+
+
+@query
+def rates_by_name(spark, sf):
+    """Daily prices and parity rates, files with different headers, as one table."""
+    paths = [staging_path(spark, name) for name in ("daily", "parity")]
+    writers.write_parts(daily_average_price(spark_view(spark, sf, "fx_trades_hist")), paths[0])
+    writers.write_parts(parity_rate(spark, HIST_FIRST_DAY, HIST_END_DAY), paths[1], gzip=True)
+    return comparable(readers.read_rates(spark, paths))
+
+
+@query
+def combined_runs(spark, sf):
+    """Daily prices of two overlapping runs: the later one covers the years from 1998 and lacks a column."""
+    daily = daily_average_price(spark_view(spark, sf, "fx_trades_hist"))
+    folder = staging_path(spark, "runs")
+    late = daily.where("day >= '1998'").withColumn("average_daily_price", F.col("average_daily_price") * 2).drop("total_amount")
+    for frame, year in ((daily, 2020), (late, 2021)):
+        stamp = datetime(year, 5, 6, 7, 8, 9, tzinfo=timezone.utc)
+        writers.write_parts(frame, f"{folder}/{writers.run_name('average_daily_price', 'all', now=stamp)}")
+    runs = readers.read_stamped(spark, [f"{folder}/*_average_daily_price_*"], schemas.DAILY_PRICE, ["day", "symbol"])
+    return comparable(readers.newest(runs, ["day", "symbol"]))
+
+
+@query
+def file_accounts(spark, sf):
+    """Rows of all files of the trades, by what was read of each, and how many broke off."""
+    path = staging_path(spark, "accounts")
+    writers.write_parts(_trades(spark, sf).select(*schemas.TRADES.names), path, gzip=True)
+    account = readers.file_account(spark, path)
+    return comparable(account.groupBy().agg(F.sum("rows").alias("number_of_trades"), F.count_if(~F.col("complete")).alias("incomplete_files")))
+
+
+SELECTIONS = [store.Selection("btcusd", "1996-01", "1996-06"), store.Selection("usdtusd", "2000-10")]
+
+
+@query
+def store_selection(spark, sf):
+    """Daily prices from a store of all trades, of one symbol over six months and another from a month on."""
+    path = staging_path(spark, "store")
+    store.write(spark_view(spark, sf, "fx_trades_hist"), path, "trades")
+    return comparable(daily_average_price(store.read(spark, path, "trades", SELECTIONS)))
+
+
+@query
+def book_store(spark, sf):
+    """The top of a book that is read from its store."""
+    path = staging_path(spark, "store")
+    store.write(_book(spark, sf), path, "book")
+    book = store.read(spark, path, "book", [store.Selection("btcusd", "2024-01", "2024-12")])
+    times = stage(ob.snapshot_times(book, BUCKET), "times")
+    return comparable(ob.top_of_book(ob.snapshot_levels(book, times)))
+
+
+@query
+def spread_caps(spark, sf):
+    """Tops of books whose spread lies below the cap of their symbol."""
+    book = spark_view(spark, sf, "fx_book_capped")
+    times = stage(ob.snapshot_times(book, BUCKET), "times")
+    return comparable(ob.top_of_book(ob.snapshot_levels(book, times)).where(range_rules(SPREAD_CAPS)))
+
+
+@query
+def period_by_arguments(spark, sf):
+    """Trades per day between an instant and a day as jobs take them."""
+    first, end = tx.instant_arg_to_ms("2024-01-05T06:30:00.250+02:00"), tx.day_arg_to_ms("2024-01-20")
+    counts = in_period(_trades(spark, sf), "date", first, end).groupBy(tx.day_of_ms(F.col("date")).alias("day"), "symbol").agg(F.count("*").alias("number_of_trades"))
+    return comparable(counts.withColumn("end_day", F.lit(tx.ms_to_day_arg(end))))
+
+
 # measures that no job above uses ----------------------------------------------------------------
 
 

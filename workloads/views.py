@@ -72,6 +72,17 @@ from {source}""",
        {{K}} + 1 as amount
 from {{source}}""",
     ),
+    # books of capped symbols, with spreads on both sides of their caps
+    "fx_book_capped": (
+        "events",
+        """select case user_id % 3 when 0 then 'paxusd' when 1 then 'tusdusdt' else 'btcdai' end as symbol,
+       {MS_TS} - {MS_TS} % 7200000 as date,
+       case when event_id % 2 = 0 then 'b' else 'a' end as type,
+       (case when user_id % 3 = 2 then 1000 else 1 end)
+         * (case when event_id % 2 = 0 then 100 - value / 50 else 100.5 + value / 50 end) as price,
+       {K} + 1 as amount
+from {source}""",
+    ),
 }
 
 
