@@ -4,33 +4,11 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from tests.compare import compare, connect
-from tickloom.session import stage
 from workloads import registry
 
 SF_DIR = "/root/testdata/sf0.001"
 
 
-@pytest.fixture(scope="module", autouse=True)
-def shared_book_series():
-    """The book series behind a dozen queries is built once; ``order_book_series`` and ``book_clean_series`` verify it."""
-    built = {}
-    originals = {name: getattr(registry, name) for name in ("_pair_series", "_clean_series")}
-
-    def once(name):
-        def build(spark, sf_dir):
-            if name not in built:
-                built[name] = stage(originals[name](spark, sf_dir), "shared")
-            return built[name]
-
-        return build
-
-    for name in originals:
-        setattr(registry, name, once(name))
-    yield
-    for name, original in originals.items():
-        setattr(registry, name, original)
-
-
 @pytest.fixture(scope="module")
 def con():
     return connect(SF_DIR)

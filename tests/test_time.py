@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import timeexpr as tx
 
+# The instants in this file and what they have to give.
 BASE = 1562371200  # 2019-07-06T00:00:00Z
 
 

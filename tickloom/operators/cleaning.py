@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.timeexpr import day_of_ts
-from tickloom.operators.grid import small_side
+from tickloom.operators.grid import sized
 
 
 class DayRule(NamedTuple):
@@ -98,4 +98,4 @@ def replace_outliers(df: DataFrame, key: str, value: str, symbols: list[str] | N
     if symbols is not None:
         inside = inside | ~F.col(key).isin(*symbols)
     replaced = F.when(inside | F.col(value).isNull(), F.col(value)).otherwise(F.col("_mean"))
-    return df.join(small_side(stats), key).withColumn(value, replaced).drop("_mean", "_dev")
+    return df.join(sized(stats), key).withColumn(value, replaced).drop("_mean", "_dev")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.timeexpr import DAY_MS, raster_starts
+from tickloom.session import stage
 
 
 def symbol_grid(symbols: DataFrame, first_ms: int, end_ms: int, step_ms: int) -> DataFrame:
@@ -42,14 +43,13 @@ def fill_with_symbol_mean(df: DataFrame, column: str, series: DataFrame) -> Data
     """Missing values become the mean the symbol has in ``series``."""
     means = series.groupBy("symbol").agg(F.avg(column).alias("_mean"))
     known = F.nanvl(column, F.lit(None).cast("double"))
-    joined = df.join(small_side(means), "symbol", "left")
+    joined = df.join(sized(means), "symbol", "left")
     return joined.withColumn(column, F.coalesce(known, F.col("_mean"))).drop("_mean")
 
 
-#: One short row per symbol: some 100 MB.
-BROADCAST_SYMBOLS = 1_000_000
+def sized(per_symbol: DataFrame) -> DataFrame:
+    """A table of one row per symbol, staged: made once, and its file size decides whether the planner broadcasts it.
 
-
-def small_side(per_symbol: DataFrame) -> DataFrame:
-    """A table of one row per symbol, broadcast where its counted size allows, so that no symbol fills one task."""
-    return F.broadcast(per_symbol) if per_symbol.limit(BROADCAST_SYMBOLS + 1).count() <= BROADCAST_SYMBOLS else per_symbol
+    Beyond that size skew handling splits the symbols of the other side.
+    """
+    return stage(per_symbol, "per-symbol")

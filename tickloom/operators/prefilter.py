@@ -20,7 +20,7 @@ def bitmap_bits(n_keys: int) -> int:
     return min(max(1 << (max(n_keys * BITS_A_KEY, 1) - 1).bit_length(), LEAST_BITS), MOST_BITS)
 
 
-def _places(columns: list[str], bits: int) -> list[Column]:
+def _places(columns: list[str] | list[Column], bits: int) -> list[Column]:
     return [F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(bits).cast("long")) for seed in (1, 2)]
 
 
@@ -39,15 +39,20 @@ def bitmap(keys: DataFrame, columns: list[str], bits: int) -> DataFrame:
     return dense.agg(F.transform(ordered, lambda x: x["mask"]).alias("bitmap"))
 
 
-def likely_in(df: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of ``df`` whose ``columns`` may be among those of ``keys``: all that are, and few others.
+def may_be_in(keys: DataFrame, columns: list[str], at: list[Column] | None = None) -> Column:
+    """Whether a row's ``columns`` (or the expressions ``at`` of the same types) may be among those of ``keys``.
 
     ``keys`` is counted and read; pass a staged table.
     """
     bits = bitmap_bits(keys.count())
     held = bitmap(keys, columns, bits).scalar()
     keep = F.lit(True)
-    for place in _places(columns, bits):
+    for place in _places(at or columns, bits):
         word = F.get(held, F.shiftright(place, 6).cast("int"))
         keep = keep & (word.bitwiseAND(_mask(place)) != 0)
-    return df.where(keep)
+    return keep
+
+
+def likely_in(df: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of ``df`` whose ``columns`` may be among those of ``keys``: all that are, and few others."""
+    return df.where(may_be_in(keys, columns))
