@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.session import stage
+
 #: Bits for each key, as far as the bitmap may grow: with 16, one row in 70 passes by chance.
 BITS_A_KEY = 16
 LEAST_BITS, MOST_BITS = 1 << 12, 1 << 26
@@ -45,7 +47,7 @@ def may_be_in(keys: DataFrame, columns: list[str], at: list[Column] | None = Non
     ``keys`` is counted and read; pass a staged table.
     """
     bits = bitmap_bits(keys.count())
-    held = bitmap(keys, columns, bits).scalar()
+    held = stage(bitmap(keys, columns, bits), "key-bitmap").scalar()  # made once, however often a plan names it
     keep = F.lit(True)
     for place in _places(at or columns, bits):
         word = F.get(held, F.shiftright(place, 6).cast("int"))
