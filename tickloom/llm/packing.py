@@ -62,6 +62,7 @@ def _emit_pieces(vocabulary: str, end_id: int, most: int, with_ids: bool) -> Cal
                     "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()),
                 }
                 yield pa.RecordBatch.from_pydict(columns | ({"ids": pa.array(raw, pa.binary())} if with_ids else {}))
+        encoder.forget()
 
     return emit
 

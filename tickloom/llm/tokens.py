@@ -11,13 +11,15 @@ import itertools
 import json
 import os
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 8 << 20
-CACHE_PIECES = 1_200_000
+#: Known pieces are forgotten beyond so many (some 200 bytes each), between two slices.
+CACHE_PIECES = 300_000
 _CLOSING = frozenset(".,!?|%&#$*;:")
 _CLOSED = re.compile(r"(?s)(.*[^\W\d_])([.,!?|%&#$*;:]+)")
 _PLAIN = re.compile(r"\n?\S+")
@@ -41,6 +43,11 @@ def _visible_bytes() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _closes(letter: str) -> bool:
+    """Whether nothing of a letter joins the sign after it: some become a letter and a mark when normalised."""
+    return unicodedata.category(unicodedata.normalize("NFC", letter.lower())[-1])[0] == "L"
+
+
 class PieceEncoder:
     def __init__(self, name: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,9 +59,10 @@ class PieceEncoder:
             spec = json.load(file)
         self.kind = self._kind(spec)
         self.visible = _visible_bytes()
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Drop the known pieces; to be called at the end of a task, as the encoder lasts as long as the worker."""
         self.places: tuple[dict[str, int], dict[str, int]] = ({}, {})  # pieces after a space, and at a text's start
         self.flat = np.zeros(1 << 20, dtype=np.uint32)
         self.begin = np.zeros(1 << 16, dtype=np.int64)  # where each known piece begins in ``flat``, with the end
@@ -125,7 +133,7 @@ class PieceEncoder:
             for p in new:
                 full = p if p[:1] == "\n" else space + p
                 closed = _CLOSED.fullmatch(full) if full[-1:] in _CLOSING else None
-                parts.append(closed.groups() if closed else (full,))
+                parts.append(closed.groups() if closed and _closes(closed[1][-1]) else (full,))
             units = [*dict.fromkeys(itertools.chain.from_iterable(parts))]
             ids = dict(zip(units, self._units(units)))
             odd = [not _PLAIN.fullmatch(p) for p in new] if spaced else [False] * len(new)
@@ -138,7 +146,7 @@ class PieceEncoder:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         n = len(texts)
         if self.known > CACHE_PIECES:
-            self._forget()
+            self.forget()
         at, doc = self._cut(texts) if self.kind != "whole" else self._entire(texts, np.arange(n))
         begin = self.begin[at]
         lengths = self.begin[at + 1] - begin
@@ -181,7 +189,7 @@ class PieceEncoder:
 
 
 def worker_encoder(name: str) -> PieceEncoder:
-    """The encoder of this Python worker, with what it has seen in earlier tasks.
+    """The encoder of this Python worker. A task that ends should let it forget its pieces.
 
     Functions of this package reach workers by value, so that its own module variables end with a task; those of the
     tokenizer library last as long as the worker.
