@@ -85,9 +85,7 @@ def plan_runs(
         raise ValueError("a piece exceeds the capacities of an empty sequence")
     full = np.array([max_tokens, max_docs, max_cost], dtype=np.float64)
     demand = np.array([sum(n * c for n, c in histogram.items()), sum(histogram.values()), sum(n * n * c for n, c in histogram.items())], dtype=np.float64)
-    # a capacity that can't run out before the tokens do has no say
-    binding = np.array([True, max_docs < max_tokens, max_cost < max_tokens**2])
-    weight = np.where(binding, demand / full, 0.0)
+    weight = demand / full  # scarcity: what all pieces need, in sequences' worth
     weight = weight / weight.max() if weight.max() else weight
     # open sequences in one state: residual tokens, documents, cost -> ranges (first sequence, how many)
     open_: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
