@@ -18,6 +18,8 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.llm.rows import without
+from tickloom.llm.words import fresh
 from tickloom.session import stage
 
 SIZE = 10
@@ -89,13 +91,14 @@ def score(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """The rows of ``docs``, all columns, without those in which a benchmark window occurs."""
-    bad = hits(docs, benchmark, size).where("start is not null").select(F.col("tag").alias("bad_tag"), F.col("doc_id").alias("bad_id")).distinct()
-    same = (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("bad_tag")) & docs["doc_id"].eqNullSafe(F.col("bad_id"))
-    return docs.join(bad, same, "left_anti")
+    id_, tag = fresh(docs.columns, "bad_id", "bad_tag")
+    bad = hits(docs, benchmark, size).where("start is not null").select(F.col("doc_id").alias(id_), F.col("tag").alias(tag)).distinct()
+    return without(docs, stage(bad, "leaking-rows"), [docs["doc_id"], F.xxhash64(F.coalesce(docs["text"], F.lit("")))])
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, n_words, kept_text: the normalised words of each row outside all hits, joined by one space."""
+    docs = docs.select("doc_id", "text")
     spans = hits(docs, benchmark, size).where("start is not null")
     spans = spans.groupBy(F.col("doc_id").alias("bad_id"), F.col("tag").alias("bad_tag")).agg(F.collect_set(F.struct("start", "length")).alias("spans"))
     same = (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("bad_tag")) & docs["doc_id"].eqNullSafe(F.col("bad_id"))

@@ -33,10 +33,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.words import BYTE_BASE, LOWER, Rolling, Words, mix, slices
+from tickloom.llm.rows import without
+from tickloom.llm.words import BYTE_BASE, LOWER, Rolling, Words, fresh, mix, slices
 from tickloom.session import stage
 
 BUCKET_BITS = 16
@@ -174,10 +175,11 @@ def _emit_scores(models) -> Callable:
             for part in slices(batch):
                 docs, bucket, token_docs, tokens = features(part.column("text"))
                 n = part.num_rows
+                # without any feature bincount gives integers
+                sums = [np.bincount(at, weights=w, minlength=n).astype(np.float64) for at, w in ((docs, quality[bucket]), (token_docs, safety[tokens]))]
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column("doc_id"), "tag": part.column("tag"), "n_tokens": np.bincount(token_docs, minlength=n).astype(np.int64),
-                    "quality_ratio": np.round(np.bincount(docs, weights=quality[bucket], minlength=n), 6),
-                    "safety_ratio": np.round(np.bincount(token_docs, weights=safety[tokens], minlength=n), 6),
+                    "quality_ratio": np.round(sums[0], 6), "safety_ratio": np.round(sums[1], 6),
                 })
 
     return emit
@@ -211,11 +213,16 @@ def weigh(docs: DataFrame, labels: DataFrame, prior: float = PRIOR, most: int =
     return scored.withColumn("log_weight", F.round(weight, 6))
 
 
+def gumbel(seed: int) -> Column:
+    """Standard Gumbel noise of a row, from a hash of its doc_id and tag."""
+    uniform = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "tag"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return -F.log(-F.log(uniform))
+
+
 def resample(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE, seed: int = SEED, **fit) -> DataFrame:
     """doc_id, tag, n_tokens, both ratios, log_weight, gumbel_key and selected for every row of ``docs``."""
     scored = weigh(docs, labels, **fit)
-    uniform = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "tag"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    keyed = scored.withColumn("gumbel_key", F.round(F.col("log_weight") - temperature * F.log(-F.log(uniform)), 6))
+    keyed = scored.withColumn("gumbel_key", F.round(F.col("log_weight") + temperature * gumbel(seed), 6))
     k = scored.where("log_weight >= 0").count()
     return select_top(keyed, k)
 
@@ -248,15 +255,17 @@ def select_top(keyed: DataFrame, k: int) -> DataFrame:
         if lo == hi or len(table) == 1:
             break
     edge = keyed.where((F.col("gumbel_key") >= lo) & (F.col("gumbel_key") <= hi))
-    ties = edge.groupBy("gumbel_key").agg(F.count("*").alias("n")).orderBy(F.desc("gumbel_key")).limit(cells).collect()
-    last = None
-    for row in ties:
-        if above + row["n"] >= k:
-            last = row["gumbel_key"]
-            break
-        above += row["n"]
-    if last is None:
-        return keyed.withColumn("selected", F.col("gumbel_key") >= lo)
+    counts, last, seen = edge.groupBy("gumbel_key").agg(F.count("*").alias("n")), None, F.lit(True)
+    while last is None:
+        ties = counts.where(seen).orderBy(F.desc("gumbel_key")).limit(cells).collect()
+        if not ties:
+            return keyed.withColumn("selected", F.col("gumbel_key") >= lo)
+        for row in ties:
+            if above + row["n"] >= k:
+                last = row["gumbel_key"]
+                break
+            above += row["n"]
+        seen = F.col("gumbel_key") < ties[-1]["gumbel_key"]
     among = keyed.where(F.col("gumbel_key") == last).select("doc_id", "tag").distinct().orderBy("doc_id", "tag").limit(max(k - above, 0))
     tied = keyed.where(F.col("gumbel_key") == last).count()
     if above + tied <= k:
@@ -269,6 +278,6 @@ def select_top(keyed: DataFrame, k: int) -> DataFrame:
 
 def keep_selected(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE, **fit) -> DataFrame:
     """The selected rows of ``docs``, all columns."""
-    chosen = resample(docs, labels, temperature, **fit).where("not selected").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct()
-    same = (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_tag")) & docs["doc_id"].eqNullSafe(F.col("_id"))
-    return docs.join(chosen, same, "left_anti")
+    id_, tag = fresh(docs.columns, "left_id", "left_tag")
+    left = resample(docs, labels, temperature, **fit).where("not selected").select(F.col("doc_id").alias(id_), F.col("tag").alias(tag)).distinct()
+    return without(docs, stage(left, "rejected-rows"), [docs["doc_id"], F.xxhash64(F.coalesce(docs["text"], F.lit("")))])

@@ -6,6 +6,7 @@ Hashes are polynomials over the ring of 64-bit integers, taken from prefix sums,
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,10 @@ import pyarrow.compute as pc
 BYTE_BASE = np.uint64(0x9E3779B97F4A7C15)
 WORD_BASE = np.uint64(0xD1B54A32D192ED03)
 OTHER_BASE = np.uint64(0x8CB92BA72F3D8DD7)
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: Words of so many bytes are hashed by a digest: in the ring of 64-bit integers there are words of 1024 bytes whose
+#: polynomials agree for every odd base.
+LONG_WORD = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -102,7 +106,12 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
 
     def hashes(self) -> np.ndarray:
-        return Rolling(self.data, BYTE_BASE).of(self.starts, self.ends)
+        """A number for each word. Polynomials of long words can be forced to agree, so these get a keyed digest."""
+        out = Rolling(self.data, BYTE_BASE).of(self.starts, self.ends)
+        for i in np.flatnonzero(self.ends - self.starts >= LONG_WORD).tolist():
+            word = self.data[self.starts[i] : self.ends[i]].tobytes()
+            out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=b"words").digest(), "little")
+        return out
 
     def windows(self, size: int) -> np.ndarray:
         """First words of all windows of ``size`` words inside one document, in order."""
@@ -124,6 +133,18 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         yield batch.slice(at, len(sizes) - at)
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Column names like ``names`` that aren't among ``taken``, in upper or lower case."""
+    used = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
