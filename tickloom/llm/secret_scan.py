@@ -2,10 +2,12 @@
 
 One pass over whole texts finds spans that stand on their own (``assign``, ``access``, ``hex``) and weak parts that
 mean nothing alone: user names and account ids (``ident``), mixed tokens of 20 or more characters (``value``: whole
-runs, dotted ones too, after ``=`` or ``:`` and before a full stop as well), and service addresses (``endpoint``). A scope is a stretch of SCOPE code points around a part. The interval join finds, for
-each weak part, whether complementary parts lie in its scope: parts are summed up by (document, cell of SCOPE code
-points, kind) to the least and greatest place, and a weak part looks at its own cell and the two beside it. That
-decides exactly, without listing pairs. Reported weak parts:
+runs, dotted ones too, after ``=`` or ``:`` and before a full stop as well), and service addresses (``endpoint``). A part
+is an interval; its scope reaches SCOPE code points beyond both of its ends. The interval join finds, for each weak part,
+whether a complementary part touches its scope: parts are summed up by the cells of SCOPE code points that they cover, to
+the least start and the greatest end, and a weak part looks at the cells of its scope: any part decides in an inner cell,
+the greatest end in the first and the least start in the last. That decides exactly, without listing pairs. Reported weak
+parts:
 
 * ``value``: with an identifier (``access`` or ``ident``) in scope;
 * ``ident`` and ``endpoint``: with a secret (``assign``, ``hex``, or a ``value`` that has its identifier) in scope.
@@ -24,7 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.words import slices
+from tickloom.llm.rows import parted, same
+from tickloom.llm.words import fresh, slices
+from tickloom.operators.prefilter import likely_in
 from tickloom.session import stage
 
 SCOPE = 256
@@ -119,16 +123,14 @@ SCHEMA = f"doc_id long, tag long, n_assign long, n_access long, n_hex long, base
 
 
 def _near(weak: DataFrame, partners: DataFrame, scope: int) -> DataFrame:
-    """Rows of ``weak`` with a row of ``partners`` whose start is at most ``scope`` code points away."""
-    cell = F.floor(F.col("start") / scope)
-    extremes = partners.groupBy("doc", "tag", cell.alias("cell")).agg(F.min("start").alias("lo"), F.max("start").alias("hi"))
-    looks = weak.withColumn("own", cell).withColumn("cell", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1)))
-    inside = (
-        (F.col("cell") == F.col("own"))
-        | ((F.col("cell") < F.col("own")) & (F.col("hi") >= F.col("start") - scope))
-        | ((F.col("cell") > F.col("own")) & (F.col("lo") <= F.col("start") + scope))
-    )
-    return looks.join(extremes, ["doc", "tag", "cell"]).where(inside).select(weak.columns).distinct()
+    """Rows of ``weak`` with a row of ``partners`` that ends or begins at most ``scope`` code points away, or overlaps."""
+    cells = lambda low, high: F.explode(F.sequence(F.floor(low / scope), F.floor(high / scope))).alias("cell")
+    start, end = F.col("start"), F.col("end")
+    extremes = partners.select("doc", "tag", "start", "end", cells(start, end)).groupBy("doc", "tag", "cell").agg(F.min("start").alias("lo"), F.max("end").alias("hi"))
+    # a scope covers three cells or more, so its first and its last are two
+    looks = weak.select("*", cells(start - scope, end + scope)).join(extremes, ["doc", "tag", "cell"])
+    inside = (F.col("hi") >= start - scope) & (F.col("lo") <= end + scope)
+    return looks.where(inside).select(weak.columns).distinct()
 
 
 def linked_parts(found: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -194,9 +196,12 @@ def mask(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     )
     spans = stage(spans.where(F.size("spans") > 0).dropDuplicates(["doc", "tag"]), "secret-spans")
     keyed = docs.select(F.to_json(F.struct("doc_id")).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"), "text")
-    masked = keyed.join(spans, ["doc", "tag"]).select("doc", "tag", "text", "spans").mapInArrow(_mask, "doc string, tag long, masked string")
-    masked = stage(masked.dropDuplicates(["doc", "tag"]), "masked-texts").withColumnsRenamed({"doc": "_doc", "tag": "_tag", "masked": "_masked"})
-    same = (F.to_json(F.struct(docs["doc_id"])) == F.col("_doc")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_tag"))
-    text = F.coalesce(F.col("_masked"), docs["text"])
-    changes = {"text": text} | ({"n_chars": F.when(F.col("_masked").isNotNull(), F.length("_masked").cast("long")).otherwise(docs["n_chars"])} if "n_chars" in docs.columns else {})
-    return docs.join(masked, same, "left").select(*[changes.get(c, docs[c]).alias(c) for c in docs.columns])
+    masked = likely_in(keyed, spans, ["doc", "tag"]).join(spans, ["doc", "tag"]).select("doc", "tag", "text", "spans").mapInArrow(_mask, "doc string, tag long, masked string")
+    doc, tag, new = fresh(docs.columns, "masked_doc", "masked_tag", "masked_text")
+    masked = stage(masked.dropDuplicates(["doc", "tag"]), "masked-texts").withColumnsRenamed({"doc": doc, "tag": tag, "masked": new})
+    at = [F.to_json(F.struct(docs["doc_id"])), F.xxhash64(F.coalesce(docs["text"], F.lit("")))]
+    maybe, rest = parted(docs, masked.select(doc, tag), at)
+    text = F.coalesce(F.col(new), docs["text"])
+    changes = {"text": text} | ({"n_chars": F.when(F.col(new).isNotNull(), F.length(new).cast("long")).otherwise(docs["n_chars"])} if "n_chars" in docs.columns else {})
+    joined = maybe.join(masked, same(masked, at), "left")
+    return rest.union(joined.select(*[changes.get(c, docs[c]).alias(c) for c in docs.columns]))
