@@ -5,17 +5,20 @@ of m 64-bit lanes. An element that two sets don't share disturbs one lane, so th
 bound of the symmetric difference. Two sets of sizes a and b that reach the threshold differ in at most D elements (D
 follows from a + b), so of m = D + 1 + spare lanes at least spare + 1 are equal: pigeonhole. Sizes fall into bands;
 a set sketches for its own band and, where its size can still meet the band below, for that one too. Empty lanes, which
-would match by chance, are left out for all sets that have at most ``spare`` of them; the others keep theirs, so that no
-pair is lost.
+would match by chance, are left out: of the equal lanes of a pair at most ``spare`` are empty if one of the two has no more
+empty lanes than that. A set that has more (one in some hundred) sketches again with its elements dealt anew, as does any
+other set like it, up to LAYERS times; so the first layer in which one of a pair has few empty lanes holds both, and the
+pair is found there. Only in the last layer empty lanes stay in.
 
 Equal lanes make groups of candidates, in which no pairs are listed at first:
 
 1. sets that are equal count once, whatever the number of their documents;
 2. each set meets the least set of its groups; a 1024-bit parity sketch (Hamming distance against D) screens the pair,
    whole texts verify it, and verified links give components;
-3. only groups that still hold several components are looked into: what isn't in a group's main component (that of its
-   least label, which is the hub's as a rule) meets the rest, screened and verified as before. Pairs inside a component
-   need no look.
+3. in groups that still hold several components, one set of each meets one of the main component (that of the least
+   label); the links found merge most of what belongs together, at a cost of one pair for each component;
+4. only groups that then still hold several components are looked into: what isn't in a group's main component meets the
+   rest, screened and verified as before. Pairs inside a component need no look.
 
 Defined cases: texts without words (null ones too) have an empty set and link with nothing; a text with fewer words
 than a shingle is one shingle; a null doc_id is smaller than all others, as -2^63; rows that share a doc_id are handled
@@ -32,8 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.rows import parted, same
 from tickloom.llm.substring_dedup import LEAST_ID
-from tickloom.llm.words import Rolling, Words, mix, signed, slices
+from tickloom.llm.words import Rolling, Words, fresh, mix, signed, slices
+from tickloom.operators.prefilter import likely_in
 from tickloom.session import stage
 
 SHINGLE = 4
@@ -42,9 +47,10 @@ BAND_RATIO = 1.35
 SKETCH_LONGS = 16
 #: Lanes of each set that help to name a pair once.
 FEW_LANES = 8
-#: Rounds in which each set's parent becomes its parent's parent: trees of depth 4 end as stars.
-JUMPS = 2
+#: Sketches of a set, each made where the one before has too many empty lanes.
+LAYERS = 8
 _LANE = np.uint64(0xA24BAED4963EE407)
+_SEGMENT = np.uint64(0x5851F42D4C957F2D)
 
 
 def most_different(total: int, percent: int) -> int:
@@ -125,26 +131,32 @@ def lane_keys(doc: np.ndarray, shingle: np.ndarray, sizes: np.ndarray, percent:
     table = bands(int(sizes.max(initial=0)), percent)
     own = np.searchsorted(table["low"], sizes, side="right") - 1
     keys, docs = [], []
-    where = mix(shingle ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)
     for below in (0, 1):
         level = own - below
         use = (sizes > 0) & (level >= 0)
         use[use] &= sizes[use] <= table["partner"][level[use]]
-        lanes = np.where(use, table["lanes"][np.maximum(level, 0)] if len(table["lanes"]) else 0, 0)
-        begin = np.r_[0, np.cumsum(lanes)]
-        some = use[doc]
-        d = doc[some]
-        lane = (where[some] * lanes[d].astype(np.uint64)) >> np.uint64(32)
-        group = begin[d] + lane.astype(np.int64)
-        total = int(begin[-1])
-        value, filled = _xor_by(group, shingle[some], total), np.bincount(group, minlength=total) > 0
-        owner = np.repeat(np.arange(len(sizes)), lanes)
-        empty = lanes - np.bincount(owner[filled], minlength=len(sizes))
-        spare = np.where(use, table["spare"][np.maximum(level, 0)] if len(table["spare"]) else 0, 0)
-        keep = filled | (empty > spare)[owner]
-        number = np.arange(total) - begin[owner]
-        name = mix((level[owner].astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64) + _LANE)
-        keys.append(mix(value ^ name)[keep]), docs.append(owner[keep])
+        for layer in range(LAYERS):
+            if not use.any():
+                break
+            lanes = np.where(use, table["lanes"][np.maximum(level, 0)], 0)
+            begin = np.r_[0, np.cumsum(lanes)]
+            some = use[doc]
+            d = doc[some]
+            where = mix(shingle[some] ^ mix(_SEGMENT + np.uint64([layer]))) >> np.uint64(32)
+            lane = (where * lanes[d].astype(np.uint64)) >> np.uint64(32)
+            group = begin[d] + lane.astype(np.int64)
+            total = int(begin[-1])
+            value, filled = _xor_by(group, shingle[some], total), np.bincount(group, minlength=total) > 0
+            owner = np.repeat(np.arange(len(sizes)), lanes)
+            empty = lanes - np.bincount(owner[filled], minlength=len(sizes))
+            sparse = use & (empty > np.where(use, table["spare"][np.maximum(level, 0)], 0))
+            keep = filled | (sparse[owner] if layer == LAYERS - 1 else False)
+            number = np.arange(total) - begin[owner]
+            name = mix((level[owner].astype(np.uint64) << np.uint64(40)) + (np.uint64(layer) << np.uint64(36)) + number.astype(np.uint64) + _LANE)
+            keys.append(mix(value ^ name)[keep]), docs.append(owner[keep])
+            use = sparse
+    if not keys:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     return np.concatenate(docs), np.concatenate(keys)
 
 
@@ -225,13 +237,19 @@ def _is_stars(edges: DataFrame) -> bool:
 
 def _verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b: sets; rep_a, rep_b: a document of each) whose texts link."""
-    texts = rows.select(F.col("id"), F.col("tag"), "text")
+    ends = stage(pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).select("rep.id", "rep.tag").distinct(), "pair-ends")
+    texts = likely_in(rows.select("id", "tag", "text"), ends, ["id", "tag"])
     left = pairs.select("a", "b", "rep_a", F.col("rep_b.id").alias("id"), F.col("rep_b.tag").alias("tag")).join(texts, ["id", "tag"])
     left = left.select("a", "b", F.col("rep_a.id").alias("id"), F.col("rep_a.tag").alias("tag"), F.col("text").alias("text_b"))
     both = left.join(texts, ["id", "tag"]).select("a", "b", F.col("text").alias("text_a"), "text_b")
     return both.mapInArrow(_emit_links(size, percent), "a long, b long")
 
 
+def as_links(found: DataFrame) -> DataFrame:
+    """Components as links to their least nodes, from which further ones are found in a few rounds."""
+    return found.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a < b")
+
+
 def linked_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: doc_id, tag (hash of its text), n_shingles, component_id (the smallest doc_id links reach)."""
     rows = docs.select(
@@ -245,7 +263,8 @@ def linked_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCE
     lanes = rows.mapInArrow(_emit_lanes(size, percent), "lane long, s long")
     groups = lanes.groupBy("lane").agg(F.min("s").alias("hub"), F.max("s").alias("other")).where("hub < other").drop("other")
     groups = stage(groups, "lane-groups")
-    members = stage(lanes.join(groups, "lane").select("lane", "hub", "s"), "lane-members")
+    shared = likely_in(lanes, groups, ["lane"])  # most lanes belong to one set alone
+    members = stage(shared.join(groups, "lane").select("lane", "hub", "s"), "lane-members")
 
     def about(name: str) -> DataFrame:
         return known.select(F.col("s").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("rep", "n", "sketch")])
@@ -255,15 +274,26 @@ def linked_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCE
     stars = stars.join(about("b"), "b").join(about("a"), "a").where(screen("a", "b", percent))
     stars = stage(stars.groupBy("b").agg(F.min(F.struct("a", "rep_a", "rep_b")).alias("p")).select("b", "p.a", "p.rep_a", "p.rep_b"), "star-pairs")
     links = stage(_verified(stars, rows, size, percent).distinct(), "star-links")
-    tops = links
-    for _ in range(JUMPS):  # deeper trees stay in parts, which only costs more looks below
-        up = tops.select(F.col("b").alias("a"), F.col("a").alias("above"))
-        tops = stage(tops.join(up, "a", "left").select(F.coalesce("above", "a").alias("a"), "b"), "tree-tops")
-
-    of = members.join(tops.select(F.col("b").alias("s"), F.col("a").alias("top")), "s", "left")
-    of = of.select("lane", "s", F.coalesce("top", "s").alias("c"))
-    mixed = of.groupBy("lane").agg(F.min("c").alias("main"), F.max("c").alias("last")).where("main < last").drop("last")
-    mixed = stage(of.join(mixed, "lane").distinct(), "mixed-groups")
+
+    def mixed_members(found: DataFrame) -> DataFrame:
+        """lane, main, s and component c of groups that hold several components; main is the least."""
+        of = members.join(found.withColumnRenamed("node", "s"), "s", "left")
+        of = of.select("lane", "s", F.coalesce("component", "s").alias("c"))
+        mixed = of.groupBy("lane").agg(F.min("c").alias("main"), F.max("c").alias("last")).where("main < last").drop("last")
+        return stage(of.join(mixed, "lane").distinct(), "mixed-groups")
+
+    # one set of each other component of a group meets one of the main component, and what links is merged
+    found = stage(components(links), "components")
+    mixed = mixed_members(found)
+    order = F.xxhash64("s", F.lit(1))  # not the hubs again
+    ones = stage(mixed.groupBy("lane", "main", "c").agg(F.min_by("s", order).alias("s")), "group-components")
+    first = ones.where("c = main").select("lane", F.col("s").alias("other"))
+    meet = ones.where("c <> main").join(first, "lane").select(F.least("s", "other").alias("a"), F.greatest("s", "other").alias("b")).distinct()
+    meet = stage(meet.join(about("b"), "b").join(about("a"), "a").where(screen("a", "b", percent)).select("a", "b", "rep_a", "rep_b"), "meeting-pairs")
+    more = stage(_verified(meet, rows, size, percent).distinct(), "meeting-links")
+    if not more.isEmpty():
+        found = stage(components(as_links(found).union(more)), "components")
+        mixed = mixed_members(found)
     few = F.slice(F.sort_array(F.collect_set("lane")), 1, FEW_LANES)
     held = stage(mixed.groupBy("s").agg(few.alias("lanes")).join(known, "s"), "mixed-sets")
 
@@ -277,8 +307,9 @@ def linked_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCE
     once = (F.size(common) == 0) | (F.col("lane") == F.array_min(common))
     rest = side("a").where("c_a <> main").join(side("b").drop("main"), "lane").where(across & screen("a", "b", percent) & once)
     rest = stage(rest.select("a", "b", "rep_a", "rep_b").distinct(), "rest-pairs")
-    found = links if rest.isEmpty() else links.union(stage(_verified(rest, rows, size, percent), "rest-links"))
-    found = stage(components(found), "components")
+    last = rest if rest.isEmpty() else stage(_verified(rest, rows, size, percent), "rest-links")
+    if not last.isEmpty():
+        found = stage(components(as_links(found).union(last)), "components")
 
     least = known.join(found.withColumnRenamed("node", "s"), "s", "left").select("s", F.coalesce("component", "s").alias("c"), F.col("rep.id").alias("id"))
     least = stage(least, "class-components")
@@ -295,9 +326,20 @@ def linked_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``docs``, all columns, with one document of each component: the smallest doc_id (rows of one doc_id and text stay together)."""
-    found = linked_components(docs, size, percent)
-    id_ = F.coalesce("doc_id", F.expr(LEAST_ID))
-    gone = found.where(id_ != F.col("component_id")).select(id_.alias("_id"), F.col("tag").alias("_tag")).distinct()
-    same = (F.coalesce(docs["doc_id"], F.expr(LEAST_ID)) == F.col("_id")) & (F.hash(F.coalesce(docs["text"], F.lit(""))) == F.col("_tag"))
-    return docs.join(gone, same, "left_anti")
+    """``docs``, all columns, with one row of each component: the smallest (doc_id, hash of the text).
+
+    Rows without words are all kept. Of rows with equal id and text one stays, whichever.
+    """
+    id_, tag, many = fresh(docs.columns, "row_id", "row_tag", "row_count")
+    found = linked_components(docs, size, percent).where("n_shingles > 0")
+    found = stage(found.groupBy("component_id", F.coalesce("doc_id", F.expr(LEAST_ID)).alias(id_), F.col("tag").alias(tag)).agg(F.count("*").alias(many)), "linked-rows")
+    least = found.groupBy("component_id").agg(F.min(F.struct(id_, tag)).alias("least"))
+    ranked = found.join(least, "component_id")
+    gone = F.struct(id_, tag) != F.col("least")
+    marked = stage(ranked.where(gone | (F.col(many) > 1)).select(id_, tag, gone.alias(many)), "marked-rows")
+    keys, at = marked.select(id_, tag), [F.coalesce(docs["doc_id"], F.expr(LEAST_ID)), F.hash(F.coalesce(docs["text"], F.lit("")))]
+    maybe, rest = parted(docs, keys, at)
+    met = maybe.join(marked, same(marked.select(id_, tag), at), "left").where(F.coalesce(~F.col(many), F.lit(True)))
+    singles = met.where(F.col(many).isNull()).select(docs.columns)
+    repeats = met.where(F.col(many).isNotNull()).dropDuplicates([id_, tag]).select(docs.columns)
+    return rest.union(singles).union(repeats)
