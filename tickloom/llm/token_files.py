@@ -14,7 +14,6 @@ many there are; an empty table gives an empty file set. Other columns are ignore
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.tokens import SLICE_BYTES, worker_encoder
 from tickloom.llm.words import mix, slices
-from tickloom.session import shared_dir
+from tickloom.session import staging_path
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
@@ -132,6 +131,7 @@ def _emit_shards(vocabulary: str, end_id: int, shard_tokens: int, schema: pa.Sch
                         yield pa.RecordBatch.from_pylist([shard.row(part, number, before)], schema)
                         number, before, shard = number + 1, before + shard.tokens, _Shard()
                     a = z
+        encoder.forget()
         if shard.keys:
             yield pa.RecordBatch.from_pylist([shard.row(part, number, before)], schema)
 
@@ -220,4 +220,5 @@ def read_keys(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
 
 
 def new_path(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    """A path in the folder of the current run's staged tables."""
+    return staging_path(spark, "token-files")
