@@ -16,7 +16,6 @@ from tests.llm import brute
 from tests.llm.test_operators import frame
 from tickloom.llm import chat, packing, quality, token_files
 from tickloom.llm.tokens import PieceEncoder, tokenizer_path
-from tickloom.llm.words import mix
 
 ODD = [
     "", "  ", "a  b", "\n", "\na\n\nb\n", " x", "x ", "   x y", "tab\tx  y\n \nz", "a\x1c b", None, "a\r\nb c\n\n\n\nd   e",
@@ -270,13 +269,12 @@ def test_top_k_without_a_sort(spark, k):
 
 def test_gumbel_noise_follows_the_weights(spark):
     """At temperature 1, taking one of two documents picks each in proportion to its weight."""
-    from math import exp
-
-    seeds, hits = 400, 0
-    rng = mix(np.arange(2 * seeds, dtype=np.uint64)).astype(np.float64) / 2.0**64
-    noise = -np.log(-np.log(rng))
-    hits = np.sum(1.0 + noise[:seeds] > noise[seeds:])
-    assert abs(hits / seeds - exp(1) / (1 + exp(1))) < 0.08
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(5).cast("long").alias("tag"))
+    noise = np.array([r[0] for r in rows.orderBy("doc_id").select(quality.gumbel(3)).collect()])
+    assert noise.mean() == pytest.approx(np.euler_gamma, abs=0.03) and noise.var() == pytest.approx(np.pi**2 / 6, rel=0.05)
+    for weight in (0.5, 1.0, 2.0):
+        share = np.mean(weight + noise[::2] > noise[1::2])
+        assert share == pytest.approx(np.exp(weight) / (1 + np.exp(weight)), abs=0.02)
 
 
 def test_pipeline_against_its_stages(spark):
