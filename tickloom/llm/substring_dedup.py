@@ -1,13 +1,13 @@
-"""Substring deduplication by De Bruijn compaction.
+"""Substring deduplication by minimizer buckets, in place of De Bruijn compaction (see README).
 
-Every stretch of ``window`` consecutive words is an edge of the De Bruijn graph of the corpus. Edges aren't shuffled
-one by one. Each is named by its least k-word node (``ANCHOR_WORDS`` words, least by hash, leftmost on ties), and
-consecutive edges of a document under the same node form one path: as nothing inside it is chosen anew, equal paths
-compact to one row of (node, path hash). Spark then works on paths:
+Every stretch of ``window`` consecutive words is an edge. Edges aren't shuffled one by one. Each is named by its least
+k-word node, a minimizer (``ANCHOR_WORDS`` words, least by hash, leftmost on ties), and consecutive edges of a document
+under the same node form one path: as nothing inside it is chosen anew, equal paths are one row of (node, path hash).
+No graph is built and no paths are joined to longer ones. Spark then works on paths:
 
-1. group by node: a node seen once has no repeated edge; where all its paths are equal the graph doesn't branch, and
-   every occurrence but those in the smallest document is a repeat as a whole;
-2. at branching nodes, equal paths compact again by (node, path); only their first occurrences are cut into edges,
+1. group by node: a node seen once has no repeated edge; where all its paths are equal, every occurrence but those in
+   the smallest document is a repeat as a whole;
+2. where a node has several paths, equal paths compact again by (node, path); only their first occurrences are cut into edges,
    which meet by 128-bit identity (node hash, edge hash; independent polynomials), and coordinates decide;
 3. repeated spans return to their documents by one join; repeats within one document are found on the spot.
 
