@@ -29,6 +29,12 @@ def test_odd_keys(spark):
     assert likely_in(rows, stage(rows, "all"), ["symbol", "date"]).count() == 5
 
 
+def test_keys_of_another_type(spark):
+    rows = spark.range(2_000).selectExpr("cast(id as int) as n")
+    keys = stage(spark.range(5).selectExpr("id * 7 as n"), "keys")
+    assert {0, 7, 14, 21, 28} <= {r.n for r in likely_in(rows, keys, ["n"]).collect()}
+
+
 @pytest.fixture
 def no_broadcast(spark):
     names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")

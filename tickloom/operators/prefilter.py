@@ -22,7 +22,7 @@ def bitmap_bits(n_keys: int) -> int:
     return min(max(1 << (max(n_keys * BITS_A_KEY, 1) - 1).bit_length(), LEAST_BITS), MOST_BITS)
 
 
-def _places(columns: list[str] | list[Column], bits: int) -> list[Column]:
+def _places(columns: list[str | Column], bits: int) -> list[Column]:
     return [F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(bits).cast("long")) for seed in (1, 2)]
 
 
@@ -42,14 +42,15 @@ def bitmap(keys: DataFrame, columns: list[str], bits: int) -> DataFrame:
 
 
 def may_be_in(keys: DataFrame, columns: list[str], at: list[Column] | None = None) -> Column:
-    """Whether a row's ``columns`` (or the expressions ``at`` of the same types) may be among those of ``keys``.
+    """Whether a row's ``columns`` (or the expressions ``at`` in their places) may be among those of ``keys``.
 
     ``keys`` is counted and read; pass a staged table.
     """
     bits = bitmap_bits(keys.count())
     held = stage(bitmap(keys, columns, bits), "key-bitmap").scalar()  # made once, however often a plan names it
     keep = F.lit(True)
-    for place in _places(at or columns, bits):
+    # equal numbers of different types have different hashes
+    for place in _places([c.cast(keys.schema[n].dataType) for n, c in zip(columns, at or map(F.col, columns))], bits):
         word = F.get(held, F.shiftright(place, 6).cast("int"))
         keep = keep & (word.bitwiseAND(_mask(place)) != 0)
     return keep
