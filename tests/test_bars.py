@@ -84,3 +84,27 @@ def test_open_close(spark):
     bar = open_close_bars(spark.createDataFrame(rows, TRADES), 1).first()
     assert (bar.price_open, bar.price_close) == (11.0, 12.0)
     assert bar.range_return == (12.0 - 10.0) / 10.0
+
+
+def test_equal_trades_in_another_order_have_equal_prices(spark):
+    prices = [0.1, 0.2, 0.3]
+    rows = [trade("x", i, p, 1.0, True) for i, p in enumerate(prices)] + [trade("x", 3, 0.5, 1.0, False)]
+    rows += [trade("y", i + 4, p, 1.0, True) for i, p in enumerate(reversed(prices))] + [trade("y", 7, 0.9, 1.0, False)]
+    (bar,) = trades_arbitrage(spark.createDataFrame(rows, TRADES).coalesce(1), 1).collect()
+    # summed as they come, the trades of "y" are cheaper by one bit, and the spread to its own bid is lost
+    assert (bar.exchange_of_min_price_trades_ask, bar.exchange_of_max_price_trades_bid) == ("x", "y")
+    assert bar.arbitrage_spread == 0.9 - math.fsum(prices) / 3
+
+
+def test_exact_sum_in_any_order(spark):
+    from pyspark.sql import functions as F
+
+    from tickloom.functions.measures import exact_sum
+
+    values = [0.1 * k * 10.0 ** (k % 9 - 4) * (-1) ** k for k in range(1, 200)]
+    odd = [(1, math.inf), (1, 1.0), (2, math.nan), (2, 1.0), (3, None), (4, None), (4, 0.1), (5, 1e30), (5, 1.0)]
+    for rows in (values, values[::-1], sorted(values)):
+        df = spark.createDataFrame([(0, v) for v in rows] + odd, "k int, v double")
+        got = {r.k: r.s for r in df.groupBy("k").agg(exact_sum(F.col("v")).alias("s")).collect()}
+        assert got[0] == math.fsum(values)
+        assert (got[1], got[3], got[4], got[5]) == (math.inf, None, 0.1, 1e30) and math.isnan(got[2])

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 NAN = float("nan")
 INF = float("inf")
+#: Adding and taking away 1.5 * 2**52 * unit rounds a double to a multiple of the unit: 2**14, 2**-16, 2**-46.
+_ROUNDERS = [1.5 * 2.0**66, 1.5 * 2.0**36, 1.5 * 2.0**6]
+_LARGE = 2.0**60
 
 
 def number(c: Column) -> Column:
@@ -26,6 +29,22 @@ def is_positive(c: Column) -> Column:
     return ~F.isnan(c) & (c > 0)
 
 
+def exact_sum(value: Column) -> Column:
+    """Sum of doubles, the same to the last bit in any order of rows and partitions.
+
+    Values are cut into parts of 30 bits that add without rounding (2**23 values of 2**-24 or more to a group), and the
+    parts' sums are added from the smallest. Values beyond 2**60, infinity and NaN are summed as they are. ``value`` is
+    written out many times: pass a column, not an expression.
+    """
+    large, rest, sums = F.abs(value) >= _LARGE, value, []
+    for rounder in _ROUNDERS:
+        part = (rest + rounder) - rounder
+        rest = rest - part
+        sums.append(F.sum(F.when(large, F.lit(0.0)).otherwise(part)))
+    small = F.sum(F.when(large, F.lit(0.0)).otherwise(rest))
+    return F.sum(F.when(large, value).otherwise(F.lit(0.0))) + (sums[0] + (sums[1] + (sums[2] + small)))
+
+
 def vwap(price: Column, amount: Column, where: Column | None = None) -> Column:
     notional, volume = number(price) * number(amount), number(amount)
     if where is not None:

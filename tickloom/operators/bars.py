@@ -18,27 +18,29 @@ def in_range(trades: DataFrame, first_ms: int, last_ms: int) -> DataFrame:
 def exchange_bars(trades: DataFrame, seconds: int) -> DataFrame:
     """One row per (bar, exchange, symbol); combined map-side before its only shuffle.
 
-    Only the count and four sums cross the shuffle; totals and flow follow from the two sides.
+    Only the count and four sums cross the shuffle; totals and flow follow from the two sides. The sums don't depend on
+    the order of the rows: the least noise in a price decides which exchange has the best one.
     """
     amount = m.number(F.col("amount"))
     notional = m.number(F.col("price")) * amount
     sells = m.is_sell(F.col("sell"))
 
     def side(value, condition):
-        return F.sum(F.when(condition, value).otherwise(F.lit(0.0)))
+        return F.when(condition, value).otherwise(F.lit(0.0))
 
+    names = ["notional_bid", "volume_trades_bid", "notional_ask", "volume_trades_ask"]
     sums = (
         trades.select(
-            bucket_ms(F.col("date"), seconds).alias("start_ms"), "exchange", "symbol", "price", "amount", "sell"
-        )
-        .groupBy("start_ms", "exchange", "symbol")
-        .agg(
-            F.count("*").alias("number_of_trades"),
+            bucket_ms(F.col("date"), seconds).alias("start_ms"),
+            "exchange",
+            "symbol",
             side(notional, ~sells).alias("notional_bid"),
             side(amount, ~sells).alias("volume_trades_bid"),
             side(notional, sells).alias("notional_ask"),
             side(amount, sells).alias("volume_trades_ask"),
         )
+        .groupBy("start_ms", "exchange", "symbol")
+        .agg(F.count("*").alias("number_of_trades"), *[m.exact_sum(F.col(name)).alias(name) for name in names])
     )
 
     def price(numerator, denominator):
