@@ -313,3 +313,19 @@ def test_queries_run_without_the_package_on_the_workers_path(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     said = subprocess.run([sys.executable, "-c", code, root], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "ROWS 200" in said.stdout, said.stderr[-2000:]
+
+
+def test_encoding_starts_no_search_for_cycles():
+    import gc
+
+    encoder = PieceEncoder("word_bpe_49k.json")
+    texts = pa.array([" ".join(f"w{k}x" for k in range(n, n + 20_000)) for n in (0, 20_000)])
+    runs = []
+    watch = lambda phase, info: runs.append(phase)
+    gc.callbacks.append(watch)
+    try:
+        encoder.encode(texts, 2)
+        found = len(runs)
+    finally:
+        gc.callbacks.remove(watch)
+    assert found == 0 and gc.isenabled()

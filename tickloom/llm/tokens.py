@@ -7,11 +7,14 @@ of other kinds, are encoded whole. Results equal the library's own on the whole
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import itertools
 import json
 import os
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +51,18 @@ def _closes(letter: str) -> bool:
     return unicodedata.category(unicodedata.normalize("NFC", letter.lower())[-1])[0] == "L"
 
 
+@contextlib.contextmanager
+def _no_cycles() -> Iterator[None]:
+    """Python's search for cycles is paused: a slice makes some hundred thousand lists and tuples, and none is in one."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 class PieceEncoder:
     def __init__(self, name: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -147,7 +162,8 @@ class PieceEncoder:
         n = len(texts)
         if self.known > CACHE_PIECES:
             self.forget()
-        at, doc = self._cut(texts) if self.kind != "whole" else self._entire(texts, np.arange(n))
+        with _no_cycles():
+            at, doc = self._cut(texts) if self.kind != "whole" else self._entire(texts, np.arange(n))
         begin = self.begin[at]
         lengths = self.begin[at + 1] - begin
         total = int(lengths.sum())
