@@ -329,3 +329,25 @@ def test_encoding_starts_no_search_for_cycles():
     finally:
         gc.callbacks.remove(watch)
     assert found == 0 and gc.isenabled()
+
+
+def test_workers_take_little_memory_for_large_batches():
+    import tracemalloc
+
+    from tickloom.llm import jaccard_join
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(2000)]  # some 4 MB
+    n = len(texts)
+    batch = pa.RecordBatch.from_pydict({
+        "doc_id": pa.array(range(n), pa.int64()), "id": pa.array(range(n), pa.int64()), "tag": pa.array([0] * n, pa.int32()),
+        "text": texts, "good": pa.array([1] * n, pa.int32()), "toxic": pa.array([0] * n, pa.int32()),
+    })
+    for emit in (quality._emit_counts, jaccard_join._emit_sets(5), jaccard_join._emit_lanes(5, 80)):
+        tracemalloc.start()
+        for _ in emit(iter([batch])):
+            pass
+        _, peak = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert peak < 48 << 20

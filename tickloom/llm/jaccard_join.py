@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.rows import parted, same
 from tickloom.llm.substring_dedup import LEAST_ID
-from tickloom.llm.words import Rolling, Words, fresh, mix, signed, slices
+from tickloom.llm.words import SMALL_SLICE_BYTES, Rolling, Words, fresh, mix, signed, slices
 from tickloom.operators.prefilter import likely_in
 from tickloom.session import stage
 
@@ -111,7 +111,7 @@ def _set_ids(doc: np.ndarray, shingle: np.ndarray, docs: int) -> tuple[np.ndarra
 def _emit_sets(size: int) -> Callable:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SMALL_SLICE_BYTES):
                 n = part.num_rows
                 doc, shingle = shingle_sets(Words(part.column("text"), lower=True), size)
                 sizes, own = _set_ids(doc, shingle, n)
@@ -164,7 +164,7 @@ def _emit_lanes(size: int, percent: int) -> Callable:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # equal sets of one task go out once; forgetting some costs only repeats
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SMALL_SLICE_BYTES):
                 doc, shingle = shingle_sets(Words(part.column("text"), lower=True), size)
                 sizes, own = _set_ids(doc, shingle, part.num_rows)
                 if len(seen) > 500_000:
@@ -183,7 +183,7 @@ def _emit_lanes(size: int, percent: int) -> Callable:
 def _emit_links(size: int, percent: int) -> Callable:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text_a"):
+            for part in slices(batch, "text_a", SMALL_SLICE_BYTES):
                 n = part.num_rows
                 a, x = shingle_sets(Words(part.column("text_a"), lower=True), size)
                 b, y = shingle_sets(Words(part.column("text_b"), lower=True), size)

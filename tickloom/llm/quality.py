@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.rows import without
-from tickloom.llm.words import BYTE_BASE, LOWER, Rolling, Words, fresh, mix, slices
+from tickloom.llm.words import BYTE_BASE, LOWER, SMALL_SLICE_BYTES, Rolling, Words, fresh, mix, slices
 from tickloom.session import stage
 
 BUCKET_BITS = 16
@@ -108,7 +108,7 @@ def _emit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     safety = np.zeros((2, 1 << TOKEN_BITS), dtype=np.int64)
     seen = np.zeros((2, 2), dtype=np.int64)
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, limit=SMALL_SLICE_BYTES):
             docs, bucket, token_docs, tokens = features(part.column("text"))
             good = np.asarray(part.column("good").fill_null(0)) == 1
             toxic = np.asarray(part.column("toxic").fill_null(-1))
@@ -172,7 +172,7 @@ def _emit_scores(models) -> Callable:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quality, safety = (m.astype(np.float64) for m in models.value)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SMALL_SLICE_BYTES):
                 docs, bucket, token_docs, tokens = features(part.column("text"))
                 n = part.num_rows
                 # without any feature bincount gives integers
