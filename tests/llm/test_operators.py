@@ -314,3 +314,38 @@ def test_empty_tables(spark):
     assert secret_scan.scan(none).count() == 0 and secret_scan.mask(none).count() == 0
     assert licenses.scan(none).count() == 0
     assert search.search(none, F.col("doc_id") % 50 == 0).count() == 0
+
+
+def test_lanes_are_counted_by_their_leading_bits(spark, monkeypatch):
+    """Four bytes a lane go to the count, at most two from one list, and no lane of two sets is missed."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    keys = [rng.integers(0, 1 << 64, 50_000, dtype=np.uint64) for _ in range(2)]
+    keys[0][:300] = keys[1][:300]
+    keys[1][300:400] = keys[1][400]  # many of one list
+    packed = [jaccard_join.packed_starts(k) for k in keys]
+    assert all(p.column("starts").values.nbytes <= 4 * 50_000 for p in packed)
+    bits = jaccard_join.BUCKET_BITS + jaccard_join.START_BITS
+    heads = [(k >> np.uint64(64 - bits)).tolist() for k in keys]
+    once = [[h for n in map(int, np.unique(x)) for h in [n] * min(2, x.count(n) if n in (heads[1][400],) else 1)] for x in heads]
+    every = sorted(once[0] + once[1])
+    expected = {a for a, b in zip(every, every[1:]) if a == b}
+    rows = [r for p in packed for r in zip(p.column("bucket").to_pylist(), p.column("starts").to_pylist())]
+    found = jaccard_join.repeated_heads(spark.createDataFrame(rows, "bucket int, starts array<int>"), 3).collect()
+    assert len(expected) == 301 and {r["head"] for r in found} == expected and len(found) == len(expected)
+
+    # bits that agree by chance change no result: with three bits, every lane goes on
+    monkeypatch.setattr(jaccard_join, "BUCKET_BITS", 1)
+    monkeypatch.setattr(jaccard_join, "START_BITS", 2)
+    docs = [(i, prose(random.Random(i // 2), 40) + (" x" if i % 2 else "")) for i in range(20)]
+    same([tuple(r) for r in jaccard_join.linked_documents(frame(spark, docs)).collect()], brute.jaccard_components(docs))
+
+
+def test_copies_send_no_lanes(spark):
+    rows = [(1, "a b c d e"), (2, "a b c d e"), (3, "f g h i j"), (2, "f g h i k"), (None, None)]
+    docs = spark.createDataFrame(rows, "id long, text string").withColumn("tag", F.hash("text"))
+    sets = docs.select("id", "tag", F.when(F.col("text").isNull(), 0).otherwise(5).alias("n"), F.hash("text").cast("long").alias("s"))
+    known = sets.where("n > 0").groupBy("s").agg(F.min(F.struct("id", "tag")).alias("rep"), F.count("*").alias("rows"))
+    left = jaccard_join.without_copies(docs, sets, known).collect()
+    assert sorted((r["id"], r["text"]) for r in left if r["id"]) == [(1, "a b c d e"), (2, "f g h i k"), (3, "f g h i j")]

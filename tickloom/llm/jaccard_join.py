@@ -10,7 +10,9 @@ empty lanes than that. A set that has more (one in some hundred) sketches again
 other set like it, up to LAYERS times; so the first layer in which one of a pair has few empty lanes holds both, and the
 pair is found there. Only in the last layer empty lanes stay in.
 
-Equal lanes make groups of candidates, in which no pairs are listed at first:
+Equal lanes make groups of candidates. Most lanes belong to one set alone: one row of each set sends the first 46 bits of
+its lanes, four bytes each in lists by bucket, and only lanes whose bits come twice are sent whole, with their set. So
+bits that agree by chance cost a row and no link is lost. In the groups no pairs are listed at first:
 
 1. sets that are equal count once, whatever the number of their documents;
 2. each set meets the least set of its groups; a 1024-bit parity sketch (Hamming distance against D) screens the pair,
@@ -35,10 +37,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.rows import parted, same
+from tickloom.llm.rows import parted, same, without
 from tickloom.llm.substring_dedup import LEAST_ID
 from tickloom.llm.words import SMALL_SLICE_BYTES, Rolling, Words, fresh, mix, signed, slices
-from tickloom.operators.prefilter import likely_in
+from tickloom.operators.prefilter import likely_in, may_be_in
 from tickloom.session import stage
 
 SHINGLE = 4
@@ -49,6 +51,11 @@ SKETCH_LONGS = 16
 FEW_LANES = 8
 #: Sketches of a set, each made where the one before has too many empty lanes.
 LAYERS = 8
+#: Lanes are first counted by their leading bits, which go to the count in lists, one for each bucket.
+BUCKET_BITS, START_BITS = 14, 32
+PACKED_LANES = 1 << 20
+#: Shingles whose lanes one task counts.
+COUNTED_SHINGLES = 2_000_000
 _LANE = np.uint64(0xA24BAED4963EE407)
 _SEGMENT = np.uint64(0x5851F42D4C957F2D)
 
@@ -160,22 +167,55 @@ def lane_keys(doc: np.ndarray, shingle: np.ndarray, sizes: np.ndarray, percent:
     return np.concatenate(docs), np.concatenate(keys)
 
 
+def _lanes(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Key of every lane and identity of its set, slice by slice."""
+    seen: set[int] = set()  # equal sets of one task go out once; forgetting some costs only repeats
+    for batch in batches:
+        for part in slices(batch, limit=SMALL_SLICE_BYTES):
+            doc, shingle = shingle_sets(Words(part.column("text"), lower=True), size)
+            sizes, own = _set_ids(doc, shingle, part.num_rows)
+            if len(seen) > 500_000:
+                seen.clear()
+            for i, s in enumerate(own.tolist()):
+                if s in seen:
+                    sizes[i] = 0
+                seen.add(s)
+            some = sizes[doc] > 0
+            owner, key = lane_keys(doc[some], shingle[some], sizes, percent)
+            yield key, own[owner]
+
+
+def packed_starts(keys: np.ndarray) -> pa.RecordBatch:
+    """The first bits of lane keys, by bucket: BUCKET_BITS name the bucket, START_BITS more a lane of it. Each at most twice."""
+    heads = np.sort(keys >> np.uint64(64 - BUCKET_BITS - START_BITS))
+    third = np.zeros(len(heads), dtype=bool)
+    third[2:] = heads[2:] == heads[:-2]
+    heads = heads[~third]
+    bucket, start = (heads >> np.uint64(START_BITS)).astype(np.int32), heads.astype(np.uint32).view(np.int32)
+    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(heads) else np.zeros(0, dtype=np.int64)
+    lists = pa.ListArray.from_arrays(np.r_[first, len(heads)].astype(np.int32), pa.array(start))
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first]), lists], ["bucket", "starts"])
+
+
+def _emit_starts(size: int, percent: int) -> Callable:
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for key, _ in _lanes(batches, size, percent):
+            held.append(key)
+            n += len(key)
+            if n >= PACKED_LANES:
+                yield packed_starts(np.concatenate(held))
+                held, n = [], 0
+        if n:
+            yield packed_starts(np.concatenate(held))
+
+    return emit
+
+
 def _emit_lanes(size: int, percent: int) -> Callable:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # equal sets of one task go out once; forgetting some costs only repeats
-        for batch in batches:
-            for part in slices(batch, limit=SMALL_SLICE_BYTES):
-                doc, shingle = shingle_sets(Words(part.column("text"), lower=True), size)
-                sizes, own = _set_ids(doc, shingle, part.num_rows)
-                if len(seen) > 500_000:
-                    seen.clear()
-                for i, s in enumerate(own.tolist()):
-                    if s in seen:
-                        sizes[i] = 0
-                    seen.add(s)
-                some = sizes[doc] > 0
-                owner, key = lane_keys(doc[some], shingle[some], sizes, percent)
-                yield pa.RecordBatch.from_pydict({"lane": signed(key), "s": signed(own)[owner]})
+        for key, s in _lanes(batches, size, percent):
+            yield pa.RecordBatch.from_pydict({"lane": signed(key), "s": signed(s)})
 
     return emit
 
@@ -250,6 +290,23 @@ def as_links(found: DataFrame) -> DataFrame:
     return found.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a < b")
 
 
+def without_copies(rows: DataFrame, sets: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` without those whose set another row stands for."""
+    many = known.where("rows > 1").select("s", "rep")
+    is_copy = F.coalesce(F.struct("id", "tag") != F.col("rep"), F.lit(False))
+    marked = sets.where("n > 0").select("id", "tag", "s").join(many, "s", "left").groupBy("id", "tag").agg(F.bool_and(is_copy).alias("copy"))
+    copies = stage(marked.where("copy").select(F.col("id").alias("copy_id"), F.col("tag").alias("copy_tag")), "copies")
+    return without(rows, copies, [rows["id"], rows["tag"]])
+
+
+def repeated_heads(packed: DataFrame, tasks: int) -> DataFrame:
+    """Leading bits that lanes of ``packed`` (bucket, starts) have twice or more."""
+    each = packed.repartition(tasks, "bucket").select("bucket", F.explode("starts").alias("start"))
+    counted = each.groupBy("bucket", "start").agg(F.count("*").alias("n")).where("n > 1")
+    start = F.col("start").cast("long").bitwiseAND((1 << START_BITS) - 1)
+    return counted.select((F.shiftleft(F.col("bucket").cast("long"), START_BITS) + start).alias("head"))
+
+
 def linked_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: doc_id, tag (hash of its text), n_shingles, component_id (the smallest doc_id links reach)."""
     rows = docs.select(
@@ -258,12 +315,17 @@ def linked_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCE
     sets = stage(
         rows.mapInArrow(_emit_sets(size), "doc_id long, id long, tag int, n long, s long, sketch array<long>"), "shingle-sets"
     )
-    known = sets.where("n > 0").groupBy("s").agg(F.min(F.struct("id", "tag", "n", "sketch")).alias("k"))
-    known = stage(known.select("s", F.struct("k.id", "k.tag").alias("rep"), "k.n", "k.sketch"), "set-classes")
-    lanes = rows.mapInArrow(_emit_lanes(size, percent), "lane long, s long")
-    groups = lanes.groupBy("lane").agg(F.min("s").alias("hub"), F.max("s").alias("other")).where("hub < other").drop("other")
-    groups = stage(groups, "lane-groups")
-    shared = likely_in(lanes, groups, ["lane"])  # most lanes belong to one set alone
+    known = sets.where("n > 0").groupBy("s").agg(F.min(F.struct("id", "tag", "n", "sketch")).alias("k"), F.count("*").alias("rows"))
+    known = stage(known.select("s", F.struct("k.id", "k.tag").alias("rep"), "k.n", "k.sketch", "rows"), "set-classes")
+    once = without_copies(rows, sets, known)
+    # most lanes belong to one set alone, so all are counted by 46 bits, and those that may be shared go on whole
+    tasks = 1 + (known.agg(F.sum("n")).first()[0] or 0) // COUNTED_SHINGLES
+    packed = once.mapInArrow(_emit_starts(size, percent), "bucket int, starts array<int>")
+    twice = stage(repeated_heads(packed, tasks), "lane-heads")
+    lanes = once.mapInArrow(_emit_lanes(size, percent), "lane long, s long")
+    head = F.shiftrightunsigned("lane", 64 - BUCKET_BITS - START_BITS)
+    shared = stage(lanes.where(may_be_in(twice, ["head"], [head])), "shared-lanes")
+    groups = shared.groupBy("lane").agg(F.min("s").alias("hub"), F.max("s").alias("other")).where("hub < other").drop("other")
     members = stage(shared.join(groups, "lane").select("lane", "hub", "s"), "lane-members")
 
     def about(name: str) -> DataFrame:
